@@ -3,7 +3,8 @@
 The network reads UTF-8 bytes in windows of ``WINDOW`` bytes (state starts at zero at
 either end of a window, in training and in use alike), gives every byte position a
 distribution over the languages, and a document the mean of its positions'
-distributions. It is trained in numpy by backpropagation through time on a bounded
+distributions. Gates are hard sigmoids (a clipped line) and candidates softsigns, which
+cost a fraction of the exponential forms and train as well here. It is trained in numpy by backpropagation through time on a bounded
 sample of labelled documents and is a few thousand numbers large, so it travels in the
 task closure.
 """
@@ -20,14 +21,14 @@ from pyspark.sql import functions as F
 from .shared import text_parts
 
 WINDOW = 128
-HIDDEN = 12
+HIDDEN = 8
 #: Labelled documents per language that training may look at, and the longest one in bytes.
 PER_LANGUAGE = 256
 LONGEST_SAMPLE = 65_536
 #: Languages with fewer labelled documents than this share are not learned.
 MIN_SHARE = 0.001
 #: Documents whose best pooled probability is lower are rejected.
-MIN_PROB = 0.5
+MIN_PROB = 0.4
 
 
 @dataclass
@@ -51,8 +52,12 @@ def start(langs: list[str], hidden: int = HIDDEN, seed: int = 7) -> Model:
     return Model(langs, f(2, 3 * hidden, 256), f(2, 2 * hidden, hidden), f(2, hidden, hidden), f(len(langs), 2 * hidden), np.zeros((len(langs), 1), np.float32))
 
 
-def _sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _gate(x):
+    return np.clip(0.25 * x + 0.5, 0, 1)
+
+
+def _gate_slope(g):
+    return 0.25 * ((g > 0) & (g < 1))
 
 
 def loss_and_grads(m: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
@@ -68,10 +73,11 @@ def loss_and_grads(m: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, list[
         prev, trace = np.zeros((h, n), np.float32), {}
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
             g = m.emb[d][:, x[t]]
-            zr = _sigmoid(g[: 2 * h] + m.u[d] @ prev)
+            zr = _gate(g[: 2 * h] + m.u[d] @ prev)
             z, r = zr[:h], zr[h:]
             rh = r * prev
-            c = np.tanh(g[2 * h :] + m.un[d] @ rh)
+            c = g[2 * h :] + m.un[d] @ rh
+            c /= 1 + np.abs(c)
             trace[t] = (prev, z, r, rh, c)
             prev = prev + z * (c - prev)
             outs[d, t] = prev
@@ -84,28 +90,29 @@ def loss_and_grads(m: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, list[
     loss = float(-np.log(p[:, y, np.arange(n)] + 1e-9).mean())
     p[:, y, np.arange(n)] -= 1
     p /= steps * n
-    d_out = np.einsum("tln,thn->lh", p, flat)
+    d_out = p.transpose(1, 0, 2).reshape(len(m.langs), -1) @ flat.transpose(0, 2, 1).reshape(-1, 2 * h)
     d_bias = p.sum((0, 2))[:, None]
     d_flat = m.out.T @ p
     d_emb, d_u, d_un = np.zeros_like(m.emb), np.zeros_like(m.u), np.zeros_like(m.un)
-    bytes_of = x.ravel()
+    order = np.argsort(x.ravel(), kind="stable")
+    seen, begins = np.unique(x.ravel()[order], return_index=True)
     for d in (0, 1):
         back = np.zeros((h, n), np.float32)
         das = np.empty((steps, 3 * h, n), np.float32)
         for t in range(steps - 1, -1, -1) if d == 0 else range(steps):
             prev, z, r, rh, c = keep[d][t]
             dh = d_flat[t, d * h : (d + 1) * h] + back
-            dc = dh * z * (1 - c * c)
+            dc = dh * z * (1 - np.abs(c)) ** 2
             drh = m.un[d].T @ dc
-            dz = dh * (c - prev) * z * (1 - z)
-            dr = drh * prev * r * (1 - r)
+            dz = dh * (c - prev) * _gate_slope(z)
+            dr = drh * prev * _gate_slope(r)
             gate = np.concatenate([dz, dr])
             back = dh * (1 - z) + drh * r + m.u[d].T @ gate
             d_un[d] += dc @ rh.T
             d_u[d] += gate @ prev.T
             das[t, : 2 * h], das[t, 2 * h :] = gate, dc
-        for k in range(3 * h):
-            d_emb[d, k] = np.bincount(bytes_of, weights=das[:, k].ravel(), minlength=256)
+        flat_das = das.transpose(1, 0, 2).reshape(3 * h, -1)[:, order]
+        d_emb[d][:, seen] = np.add.reduceat(flat_das, begins, axis=1)
     return loss, [d_emb, d_u, d_un, d_out.astype(np.float32), d_bias.astype(np.float32)]
 
 
@@ -155,55 +162,66 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _positions(m: Model, x: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """Probabilities T x langs x N for windows sorted by falling length.
+    """Probabilities langs x T x N for windows sorted by falling length.
 
     ``x`` is T x N bytes; at step t only the first ``active[t]`` windows reach so far.
+    Rows of states lie together, so that a byte's input part is one short copy.
     """
     steps, n = x.shape
     h = m.u.shape[2]
-    half = np.float32(0.5)
-    hid = np.zeros((2, steps, h, n), np.float32)
+    quarter = np.float32(0.25)
+    hid = np.zeros((2, steps, n, h), np.float32)
+    idx = x.astype(np.intp)
+    none, one = np.zeros((n, h), np.float32), np.ones((n, h), np.float32)
+    z, r, c, a = (np.empty((n, h), np.float32) for _ in range(4))
     for d in (0, 1):
-        emb = m.emb[d].copy()
-        emb[: 2 * h] *= half
-        u, un = m.u[d] * half, m.un[d]
-        prev = np.zeros((h, n), np.float32)
+        ez, er, ec = (np.ascontiguousarray(m.emb[d, j * h : (j + 1) * h].T) for j in range(3))
+        ez, er = quarter * ez + np.float32(0.5), quarter * er + np.float32(0.5)
+        uz, ur, uc = (np.ascontiguousarray(w.T) for w in (m.u[d, :h] * quarter, m.u[d, h:] * quarter, m.un[d]))
+        last = none
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
             k = int(active[t])
             if k == 0:
                 continue
-            if k > prev.shape[1]:
-                prev = np.concatenate([prev, np.zeros((h, k - prev.shape[1]), np.float32)], 1)
-            elif k < prev.shape[1]:
-                prev = np.ascontiguousarray(prev[:, :k])
-            g = np.take(emb, x[t, :k], axis=1, mode="clip")
-            zr = u @ prev
-            zr += g[: 2 * h]
-            np.tanh(zr, out=zr)
-            zr *= half
-            zr += half
-            c = un @ (zr[h:] * prev)
-            c += g[2 * h :]
-            np.tanh(c, out=c)
-            c -= prev
-            c *= zr[:h]
-            c += prev
-            hid[d, t, :, :k] = c
-            prev = c
-    p = np.empty((steps, len(m.langs), n), np.float32)
-    a, b = np.ascontiguousarray(m.out[:, :h]), np.ascontiguousarray(m.out[:, h:])
-    for t in range(steps):
-        q = a @ hid[0, t]
-        q += b @ hid[1, t]
-        q += m.bias
-        q -= q.max(0)
-        np.exp(q, out=q)
-        q /= q.sum(0)
-        p[t] = q
-    return p
-
-
-def label_rows(m: Model, data: np.ndarray, offs: np.ndarray, window: int = WINDOW, width: int = 1024):
+            i, prev, out = idx[t, :k], last[:k], hid[d, t, :k]
+            zk, rk, ck, ak, zero, full = z[:k], r[:k], c[:k], a[:k], none[:k], one[:k]
+            for e, u, g in ((ez, uz, zk), (er, ur, rk)):
+                np.matmul(prev, u, out=g)
+                np.take(e, i, axis=0, out=ak, mode="clip")
+                g += ak
+                np.maximum(g, zero, out=g)
+                np.minimum(g, full, out=g)
+            rk *= prev
+            np.matmul(rk, uc, out=ck)
+            np.take(ec, i, axis=0, out=ak, mode="clip")
+            ck += ak
+            np.abs(ck, out=ak)
+            ak += full
+            ck /= ak
+            ck -= prev
+            ck *= zk
+            np.add(ck, prev, out=out)
+            last = hid[d, t]
+    q = hid[0].reshape(-1, h) @ m.out[:, :h].T
+    q += hid[1].reshape(-1, h) @ m.out[:, h:].T
+    q = np.ascontiguousarray(q.T)
+    q += m.bias
+    q -= q.max(0)
+    np.exp(q, out=q)
+    q /= q.sum(0)
+    return q.reshape(len(m.langs), steps, n)
+
+
+def _first_best(p: np.ndarray) -> np.ndarray:
+    """Index of the largest along the first axis, the first of equals."""
+    most, best = p[0].copy(), np.zeros(p.shape[1:], np.uint8)
+    for j in range(1, len(p)):
+        best[p[j] > most] = j
+        np.maximum(most, p[j], out=most)
+    return best
+
+
+def label_rows(m: Model, data: np.ndarray, offs: np.ndarray, window: int = WINDOW, width: int = 2048):
     """Label of every byte, and per row the pooled probabilities and label counts."""
     rows, langs = len(offs) - 1, len(m.langs)
     size = np.diff(offs)
@@ -213,23 +231,30 @@ def label_rows(m: Model, data: np.ndarray, offs: np.ndarray, window: int = WINDO
     begin = offs[:-1][row] + nth * window
     length = np.minimum(size[row] - nth * window, window)
     order = np.argsort(-length, kind="stable")
-    labels = np.empty(len(data), np.uint8)
+    labels = np.empty(len(data) + window, np.uint8)
     sums, votes = np.zeros((rows, langs)), np.zeros((rows, langs), np.int64)
-    padded = np.concatenate([data, np.zeros(window, np.uint8)])
+    spans = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(window, np.uint8)]), window)
+    marks = np.lib.stride_tricks.sliding_window_view(labels, window, writeable=True)
+    steps = np.arange(window)[:, None]
     for lo in range(0, len(order), width):
         k = order[lo : lo + width]
-        span = begin[k][:, None] + np.arange(window)
-        x = np.ascontiguousarray(padded[span].T)
-        active = (length[k][None, :] > np.arange(window)[:, None]).sum(1)
-        p = _positions(m, x, active)
-        real = np.arange(window)[:, None] < length[k][None, :]
-        best = p.argmax(1).astype(np.uint8)
-        labels[span.T[real]] = best[real]
-        p *= real[:, None, :]
-        own = p.sum(0, dtype=np.float64)
+        active = (length[k][None, :] > steps).sum(1)
+        p = _positions(m, np.ascontiguousarray(spans[begin[k]].T), active)
+        best = _first_best(p)
+        full = int(active[-1])
+        if full:
+            marks[begin[k[:full]]] = best[:, :full].T
+        for j in range(full, len(k)):
+            labels[begin[k[j]] : begin[k[j]] + length[k[j]]] = best[: length[k[j]], j]
+        if full < len(k):
+            real = steps < length[k[full:]][None, :]
+            p[:, :, full:] *= real
+            best[:, full:][~real] = 255
+        own = p.sum(1, dtype=np.float64)
         for j in range(langs):
             sums[:, j] += np.bincount(row[k], weights=own[j], minlength=rows)
-            votes[:, j] += np.bincount(row[k], weights=((best == j) & real).sum(0), minlength=rows).astype(np.int64)
+            votes[:, j] += np.bincount(row[k], weights=(best == j).sum(0), minlength=rows).astype(np.int64)
+    labels = labels[: len(data)]
     with np.errstate(invalid="ignore", divide="ignore"):
         pooled = sums / size[:, None]
     return labels, pooled, votes
