@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
-from . import langid, llr, packing, parity
+import os
+
+from pyspark.sql import functions as F
+
+from . import arrowseq, chat, langid, llr, ogg, packing, parity, unigram, urlrules, warc
 from .shared import table
 
+MODEL = os.path.join(os.environ.get("QUIRE_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
+
 
 def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(table("documents", spark, sf_dir))
 
 
+def op2_sentencepiece(spark, sf_dir):
+    return unigram.encode(table("documents", spark, sf_dir), unigram.load(MODEL))
+
+
+def op3_warc_derivatives(spark, sf_dir):
+    return warc.derive(warc.responses(table("pages", spark, sf_dir)))
+
+
+def op4_ogg_packets(spark, sf_dir):
+    return ogg.packets(ogg.conversations_as_ogg(table("conversations", spark, sf_dir)))
+
+
 def op5_language_id(spark, sf_dir):
     docs = table("documents", spark, sf_dir)
     return langid.identify(docs, langid.fit(docs))
 
 
+def op6_url_rules(spark, sf_dir):
+    """A page's label is that of the document of its number, bad where the quality is 0."""
+    pages = table("pages", spark, sf_dir)
+    labels = table("labels", spark, sf_dir).select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("bad"))
+    return urlrules.apply_rules(pages, urlrules.mine(pages, labels))
+
+
+def op7_chat_windows(spark, sf_dir):
+    return chat.format_windows(table("conversations", spark, sf_dir))
+
+
 def op8_ngram_jaccard_join(spark, sf_dir):
     return parity.jaccard_join(table("documents", spark, sf_dir))
 
@@ -24,5 +53,9 @@ def op9_quality_llr(spark, sf_dir):
     return llr.score(docs, llr.fit(docs, table("labels", spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_language_id, op8_ngram_jaccard_join, op9_quality_llr)}
+def op10_arrow_sequences(spark, sf_dir):
+    return arrowseq.write(table("documents", spark, sf_dir), unigram.load(MODEL), arrowseq.new_folder(spark))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_warc_derivatives, op4_ogg_packets, op5_language_id, op6_url_rules, op7_chat_windows, op8_ngram_jaccard_join, op9_quality_llr, op10_arrow_sequences)}
 ORACLE_SQL: dict[str, str] = {}
