@@ -7,6 +7,7 @@ heading and footnote marks put before some). Every page or document is used.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -524,3 +525,56 @@ def win_word_islands(spark, sf_dir):
     k = c.withColumn("cut", F.when(cut, 1).otherwise(0)).withColumn("w", F.sum("cut").over(w.rowsBetween(W.unboundedPreceding, 0))).where(~space)
     g = k.groupBy("doc_id", "w").agg(_ordered("i", "ch", "").alias("text"), (F.min("i") * 6).cast("bigint").alias("l"), ((F.max("i") + 1) * 6).cast("bigint").alias("r"))
     return g.select("doc_id", F.dense_rank().over(W.partitionBy("doc_id").orderBy("w")).cast("bigint").alias("word"), "text", "l", "r")
+
+
+# ---- whole documents ---------------------------------------------------------------------
+def _chars(spark, sf_dir):
+    from .plans.document import typeset_chars
+
+    return typeset_chars(table(spark, sf_dir, "documents"))
+
+
+@query()
+def grp_blocks(spark, sf_dir):
+    """Characters of all documents, typeset, grouped to words, lines and blocks."""
+    from .plans.document import blocks_table
+
+    return blocks_table(_chars(spark, sf_dir))
+
+
+@query()
+def reg_regions(spark, sf_dir):
+    from .plans.document import regions_table
+
+    return regions_table(_chars(spark, sf_dir))
+
+
+@query()
+def ord_reading_order(spark, sf_dir):
+    from .plans.document import ordered_blocks_table
+
+    return ordered_blocks_table(_chars(spark, sf_dir))
+
+
+@query()
+def snk_markdown_pipeline(spark, sf_dir):
+    """The whole way from characters to Markdown."""
+    from .plans.document import markdown_table
+
+    return markdown_table(_chars(spark, sf_dir))
+
+
+@query()
+def met_table_similarity(spark, sf_dir):
+    """Tree similarities of each order's table with the next order's, as structure, text and boxes."""
+    cells = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))).alias("rows"))
+    html = cells.select("l_orderkey", F.concat(F.lit("<table>"), F.array_join(F.transform("rows", lambda r: F.concat(F.lit("<tr><td>"), r["l_partkey"].cast("string"), F.lit("</td><td>"), r["l_returnflag"], F.lit("</td></tr>"))), ""), F.lit("</table>")).alias("html"))
+    both = html.withColumn("other", F.lead("html").over(W.partitionBy(F.col("l_orderkey") % 64).orderBy("l_orderkey"))).where("other is not null")
+
+    @F.pandas_udf("struct<structure: double, content: double, boxes: double>")
+    def score(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        from quire.operators import metrics as M
+
+        return pd.DataFrame([(M.teds_struct(x, y), M.teds(x, y), M.teds_iou(x, y)) for x, y in zip(a, b)], columns=["structure", "content", "boxes"])
+
+    return both.select("l_orderkey", score("html", "other").alias("s")).select("l_orderkey", "s.*")
