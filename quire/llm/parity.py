@@ -10,8 +10,10 @@ joined on equal part names. Sizes fall into bands ``[2^j, 2^(j+1))`` that share
 of parts; a set small enough to have a partner in the band below is entered there too.
 
 There are as many parts as leave ``EQUAL`` of them untouched, on average, at the threshold
-itself, so a pair at the threshold is missed with probability about ``exp(-EQUAL)`` and any
-closer pair far more rarely; with fewer differences than parts nothing can be missed.
+itself. Sets of ``TWO_PARTS`` n-grams or more become candidates when two parts agree, smaller
+ones (whose short sketches tell them apart) when one does. A pair at the threshold is
+missed with probability ``(1 + EQUAL) * exp(-EQUAL)``, under 1 %, and any closer pair far more
+rarely.
 Candidates are screened by the distance of short sketches, then verified exactly.
 
 Texts with the same set share one node, so that copies cost one row per part name in all.
@@ -33,7 +35,9 @@ from .shared import discard, list_array, materialize, text_parts
 N = 2
 THRESHOLD = 0.7
 #: Parts left equal, on average, by a pair at the threshold.
-EQUAL = 6.0
+EQUAL = 7.0
+#: Sets of at least this size must agree in two parts, as a single one may hold one common n-gram.
+TWO_PARTS = 32
 #: Bits of an n-gram's hash.
 HASH_BITS = 46
 #: Bits of the screening sketch that travels with every part name, beside 16 for the size.
@@ -156,13 +160,15 @@ def _pairs_of_groups(t: float):
     rows, not its pairs; a pair goes out only if the short sketches allow it.
     """
 
+    small = np.uint64(TWO_PARTS << SKETCH_BITS)
+
     def emit(node, meta):
         for i in range(1, len(node)):
             for lo in range(0, i, 1 << 16):
                 hi = min(i, lo + (1 << 16))
                 ok = np.flatnonzero(_possible(meta[lo:hi], meta[i], t)) + lo
                 if len(ok):
-                    yield node[ok], np.full(len(ok), node[i])
+                    yield node[ok], np.full(len(ok), node[i]), np.where(np.minimum(meta[ok], meta[i]) < small, 2, 1)
 
     def pairs(key, node, meta):
         """Pairs of whole groups; groups of two in one step, larger ones each."""
@@ -171,24 +177,27 @@ def _pairs_of_groups(t: float):
         two = edge[size == 2]
         if len(two):
             ok = two[_possible(meta[two], meta[two + 1], t)]
-            yield node[ok], node[ok + 1]
+            yield node[ok], node[ok + 1], np.where(np.minimum(meta[ok], meta[ok + 1]) < small, 2, 1)
         for e, s in zip(edge[size > 2], size[size > 2]):
             yield from emit(node[e : e + s], meta[e : e + s])
 
+    def batch(parts):
+        a, b, w = (np.concatenate(c) for c in zip(*parts))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(w.astype(np.int32))], names=["a", "b", "w"])
+
     def run(batches):
         kept: list[tuple] = []
 
         def out(parts):
-            a, b, n = [], [], 0
-            for x, y in parts:
-                a.append(x)
-                b.append(y)
-                n += len(x)
+            kept, n = [], 0
+            for x in parts:
+                kept.append(x)
+                n += len(x[0])
                 if n >= 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                    a, b, n = [], [], 0
+                    yield batch(kept)
+                    kept, n = [], 0
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                yield batch(kept)
 
         def whole(rows):
             key, node, meta = (np.concatenate(c) for c in zip(*rows))
@@ -258,28 +267,28 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
     """
     both = pairs.select(F.col("a").alias("node"), F.least("a", "b").alias("o")).unionAll(pairs.select(F.col("b").alias("node"), F.least("a", "b").alias("o")))
     leaders = materialize(both.groupBy("node").agg(F.min("o").alias("leader")), "parity-leaders")
-    buckets = max(1, leaders.count() * 4 // BLOCK)
+    n_nodes = leaders.count()
+    buckets, few = max(1, n_nodes * 4 // BLOCK), n_nodes <= BROADCAST_ROWS
     blocks = leaders.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("cuts"))
     # leaders of few nodes share a bucket, as a group of its own for each would cost a call each
     cell = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("leader"), F.lit(buckets))).otherwise(F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("cuts"))))
     place = materialize(leaders.join(blocks, "leader").select("node", cell.alias("cell")), "parity-place")
-    at = pairs.join(place.select(F.col("node").alias("a"), F.col("cell").alias("ca")), "a").join(place.select(F.col("node").alias("b"), F.col("cell").alias("cb")), "b")
+    where = F.broadcast(place) if few else place
+    at = pairs.join(where.select(F.col("node").alias("a"), F.col("cell").alias("ca")), "a").join(where.select(F.col("node").alias("b"), F.col("cell").alias("cb")), "b")
     at = materialize(at.select(F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")).alias("cell"), "a", "b"), "parity-at")
     # one text per node, tokenised again: cheaper than keeping every set
-    first = nodes.join(place.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("i"))
-    first = materialize(first, "parity-first")
-    small = first.count() <= BROADCAST_ROWS
+    first = nodes.join(place.select("node"), "node", "left_semi").select("node", "name", "i")
     texts = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
-    texts = texts.join(F.broadcast(first) if small else first, "i").select("node", "t")
+    texts = texts.join(F.broadcast(first) if few else first, "i").select("node", "t", "name")
 
     def tokenise(batches):
         for b in batches:
             for lo, data, offs in text_parts(b.column(1)):
                 g, size = sets(data, offs, n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(size)), pa.array(size), pa.array(nodes_of(g, size).view(np.int64)), list_array(g.view(np.int64), size)], names=["node", "n", "is", "grams"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(size)), b.column(2).slice(lo, len(size)), pa.array(nodes_of(g, size).view(np.int64)), list_array(g.view(np.int64), size)], names=["node", "name", "is", "grams"])
 
     # of repeated ids with different texts only the text that makes up the node counts
-    found = texts.mapInArrow(tokenise, "node bigint, n bigint, is bigint, grams array<bigint>").where("node = is").select("node", F.col("grams"))
+    found = texts.mapInArrow(tokenise, "node bigint, name bigint, is bigint, grams array<bigint>").where("name = is").select("node", "grams")
     need = at.select(F.col("cell").alias("to"), F.col("a").alias("node")).unionAll(at.select(F.col("cell").alias("to"), F.col("b").alias("node"))).distinct()
     sent = need.join(found, "node").select("to", "node", "grams")
 
@@ -304,24 +313,32 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
 
     out = at.groupBy("cell").cogroup(sent.groupBy("to")).applyInArrow(check, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint")
     out = materialize(out, "parity-pairs")
-    discard(leaders, place, at, first)
+    discard(leaders, place, at)
     return out
 
 
-def similar_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, t: float = THRESHOLD, equal: float = EQUAL) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, node)`` of every text with an n-gram, and the verified pairs of nodes.
+def similar_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, t: float = THRESHOLD, equal: float = EQUAL) -> tuple[DataFrame, DataFrame, bool]:
+    """``(doc_id, node)`` of every text with an n-gram, the verified pairs of nodes, and whether ids repeat.
 
-    Both are written to the shared folder; pass them to :func:`.shared.discard` when done.
+    A node goes by the least id that has its set (ids are short, which halves what is
+    shuffled), or by the hash of the set if all its ids have several sets. Both tables are
+    written to the shared folder; pass them to :func:`.shared.discard` when done.
     """
     index = materialize(_index(docs, id_col, text_col, n, t, equal), "parity-index")
-    nodes = index.select("doc_id", "node").distinct()
-    rows = index.select(F.explode("names").alias("name"), "node", "meta")
-    rows = rows.repartition("name").sortWithinPartitions("name", "node")
-    pairs = materialize(rows.mapInArrow(_pairs_of_groups(t), "a bigint, b bigint").distinct(), "parity-candidates")
-    found = _verify(pairs, nodes, docs, id_col, text_col, n, t)
-    nodes = materialize(nodes, "parity-nodes")
-    discard(index, pairs)
-    return nodes, found
+    ids = index.select("doc_id", F.col("node").alias("name")).distinct()
+    several = materialize(ids.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("several")), "parity-several")
+    repeated = not several.isEmpty()
+    own = ids.join(several, "doc_id", "left").withColumn("own", F.when(F.col("several").isNull(), F.col("doc_id"))) if repeated else ids.withColumn("own", F.col("doc_id"))
+    names = materialize(own.groupBy("name").agg(F.coalesce(F.min("own"), F.col("name")).alias("node"), F.min("doc_id").alias("i")), "parity-names")
+    few = names.count() <= BROADCAST_ROWS
+    rows = index.withColumnRenamed("node", "name").withColumnRenamed("doc_id", "i").join(F.broadcast(names) if few else names, ["name", "i"])
+    rows = rows.select(F.explode("names").alias("part"), "node", "meta").repartition("part").sortWithinPartitions("part", "node")
+    agree = rows.mapInArrow(_pairs_of_groups(t), "a bigint, b bigint, w int").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    pairs = materialize(agree.where("w >= 2").select("a", "b"), "parity-candidates")
+    found = _verify(pairs, names, docs, id_col, text_col, n, t)
+    nodes = materialize(ids.join(F.broadcast(names.select("name", "node")) if few else names.select("name", "node"), "name").select("doc_id", "node"), "parity-nodes")
+    discard(index, pairs, names, several)
+    return nodes, found, repeated
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, t: float = THRESHOLD, equal: float = EQUAL) -> DataFrame:
@@ -331,15 +348,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are similar to nothing. Rows of one id count as one text each; a pair of ids
     is listed once, with its largest similarity. An empty table gives no pair.
     """
-    nodes, found = similar_nodes(docs, id_col, text_col, n, t, equal)
+    nodes, found, repeated = similar_nodes(docs, id_col, text_col, n, t, equal)
     members = nodes.groupBy("node").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
-    copies = members.where(F.size("ids") > 1).select(F.posexplode("ids").alias("k", "x"), "ids").select("x", F.explode(F.slice("ids", F.col("k") + 2, F.greatest(F.size("ids") - F.col("k") - 1, F.lit(0)))).alias("y"), F.lit(1.0).alias("jaccard"))
+    # most nodes are one text that goes by its own id; only the others are looked up
+    several = materialize(members.where((F.size("ids") > 1) | (F.col("ids")[0] != F.col("node"))), "parity-members")
+    copies = several.where(F.size("ids") > 1).select(F.posexplode("ids").alias("k", "x"), "ids").select("x", F.explode(F.slice("ids", F.col("k") + 2, F.greatest(F.size("ids") - F.col("k") - 1, F.lit(0)))).alias("y"), F.lit(1.0).alias("jaccard"))
+    look = F.broadcast(several) if several.count() <= BROADCAST_ROWS and nodes.count() <= 10 * BROADCAST_ROWS else several
     j = F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
-    near = found.select("a", "b", j.alias("jaccard")).join(members.select(F.col("node").alias("a"), F.col("ids").alias("ids_a")), "a").join(members.select(F.col("node").alias("b"), F.col("ids").alias("ids_b")), "b")
-    near = near.select(F.explode("ids_a").alias("x"), "ids_b", "jaccard").select("x", F.explode("ids_b").alias("y"), "jaccard").where("x <> y")
-    # an id that occurs with several texts can reach another id twice
+    near = found.select("a", "b", j.alias("jaccard")).join(look.select(F.col("node").alias("a"), F.col("ids").alias("ids_a")), "a", "left").join(look.select(F.col("node").alias("b"), F.col("ids").alias("ids_b")), "b", "left")
+    near = near.select(F.explode(F.coalesce("ids_a", F.array("a"))).alias("x"), F.coalesce("ids_b", F.array("b")).alias("ids_b"), "jaccard").select("x", F.explode("ids_b").alias("y"), "jaccard").where("x <> y")
     out = copies.unionAll(near).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    return out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    # an id that occurs with several texts can reach another id twice
+    return out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")) if repeated else out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, t: float = THRESHOLD, equal: float = EQUAL) -> DataFrame:
@@ -348,7 +368,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     Groups are the connected components of the join. Texts without a word and rows without
     id belong to none and stay; of repeated rows with one id one stays.
     """
-    nodes, found = similar_nodes(docs, id_col, text_col, n, t, equal)
+    nodes, found, _ = similar_nodes(docs, id_col, text_col, n, t, equal)
     groups = components(found.select("a", "b"))
     of = nodes.join(groups.withColumnRenamed("item", "node"), "node", "left").select("doc_id", F.coalesce("group", "node").alias("group"))
     best = of.groupBy("group").agg(F.min("doc_id").alias("best"))
