@@ -32,11 +32,11 @@ def words(chars) -> list[Word]:
     run: list[Char] = []
     prev = None
     for c in chars:
-        space = c.text is not None and c.text.isspace()
-        cut = space
-        if prev is not None and not cut and not _script(prev, c):
+        cut = space = c.text is not None and c.text.isspace()
+        if prev is not None and not cut:
             em = max(c.size, prev.size, 1.0)
-            cut = abs(c.box.bottom - prev.box.bottom) > em * BASELINE or c.box.left - prev.box.right > em * WORD_GAP
+            apart = abs(c.box.bottom - prev.box.bottom) > em * BASELINE or c.box.left - prev.box.right > em * WORD_GAP
+            cut = apart and not _script(prev, c)
         if cut and run:
             out.append(_word(run))
             run = []

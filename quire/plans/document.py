@@ -13,33 +13,47 @@ from collections import defaultdict
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import BLOCKS, MARKDOWN, REGIONS, Box, Char, Graphic, Page
 from ..operators import grouping, markdown, reading_order, regions
 
+CHAR_COLUMNS = ("page", "seq", "ch", "left", "bottom", "right", "top", "font", "size", "weight", "angle")
+GRAPHIC_COLUMNS = ("page", "z", "kind", "left", "bottom", "right", "top", "stroke_width", "stroked", "filled")
+PAGE_COLUMNS = ("page", "width", "height")
 _TABLES = {"blocks": BLOCKS, "regions": REGIONS, "markdown": MARKDOWN}
 
 
-def pages_from_rows(chars: list[dict], graphics: list[dict], pages: list[dict]) -> list[Page]:
-    """Pages with grouped blocks from the rows of one document; carriage returns and line feeds are dropped.
+def pages_from_columns(chars: dict[str, list], graphics: dict[str, list], pages: dict[str, list]) -> list[Page]:
+    """Pages with grouped blocks from the columns of one document; carriage returns and line feeds are dropped.
 
     Coordinates must be numbers; a page that only characters or graphics mention is US Letter.
     """
-    by: dict[int, list[Char]] = defaultdict(list)
-    for c in sorted(chars, key=lambda c: (c["page"], c["seq"])):
-        if c["ch"] in ("\r", "\n"):
+    by: dict[int, list[tuple[int, Char]]] = defaultdict(list)
+    for page, seq, ch, left, bottom, right, top, font, size, weight, angle in zip(*(chars[c] for c in CHAR_COLUMNS)):
+        if ch == "\n" or ch == "\r":
             continue
-        box = Box(c["left"], c["bottom"], c["right"], c["top"])
-        if any(v is None or math.isnan(v) for v in box):
-            raise ValueError(f"character {c['seq']} of page {c['page']} has no box")
-        by[c["page"]].append(Char(c["ch"], box, c["font"] or "", c["size"] or 0.0, c["weight"], c["angle"] or 0.0))
+        box = Box(left, bottom, right, top)
+        if None in box or any(map(math.isnan, box)):
+            raise ValueError(f"character {seq} of page {page} has no box")
+        by[page].append((seq, Char(ch, box, font or "", size or 0.0, weight, angle or 0.0)))
     drawn: dict[int, list[Graphic]] = defaultdict(list)
-    for g in sorted(graphics, key=lambda g: (g["page"], g["z"])):
-        drawn[g["page"]].append(Graphic(g["kind"], Box(g["left"], g["bottom"], g["right"], g["top"]), g["z"], 1.0 if g["stroke_width"] is None else g["stroke_width"], g["stroked"] is not False, bool(g["filled"])))
-    size = {p["page"]: (p["width"], p["height"]) for p in pages}
-    return [Page(i, *size.get(i, (612.0, 792.0)), grouping.group(by[i]), drawn[i]) for i in sorted({*by, *drawn, *size})]
+    for page, z, kind, left, bottom, right, top, stroke, stroked, filled in zip(*(graphics[c] for c in GRAPHIC_COLUMNS)):
+        drawn[page].append(Graphic(kind, Box(left, bottom, right, top), z, 1.0 if stroke is None else stroke, stroked is not False, bool(filled)))
+    size = {p: (w, h) for p, w, h in zip(*(pages[c] for c in PAGE_COLUMNS))}
+    out = []
+    for i in sorted({*by, *drawn, *size}):
+        stream = [c for _, c in sorted(by[i], key=lambda x: x[0])]
+        out.append(Page(i, *size.get(i, (612.0, 792.0)), grouping.group(stream), sorted(drawn[i], key=lambda g: g.z)))
+    return out
+
+
+def pages_from_rows(chars: list[dict], graphics: list[dict], pages: list[dict]) -> list[Page]:
+    """The same from rows."""
+    columns = lambda rows, names: {n: [r[n] for r in rows] for n in names}
+    return pages_from_columns(columns(chars, CHAR_COLUMNS), columns(graphics, GRAPHIC_COLUMNS), columns(pages, PAGE_COLUMNS))
 
 
 def split_styles(pages: list[Page]) -> list[Page]:
@@ -72,20 +86,28 @@ def _arrow(schema) -> pa.Schema:
 
 
 def _run(chars: DataFrame, graphics: DataFrame | None, pages: DataFrame | None, kind: str, make: Callable[[str, list[Page]], list[tuple]], failed: Callable[[str, str], list[tuple]] | None = None) -> DataFrame:
-    """One grouped call per document over all its rows, which arrive in one shuffle."""
-    char_cols = F.struct("page", "seq", "ch", "left", "bottom", "right", "top", "font", "size", "weight", "angle").alias("char")
-    rows = chars.select("doc_id", char_cols)
-    if graphics is not None:
-        rows = rows.unionByName(graphics.select("doc_id", F.struct("page", "z", "kind", "left", "bottom", "right", "top", "stroke_width", "stroked", "filled").alias("graphic")), allowMissingColumns=True)
-    if pages is not None:
-        rows = rows.unionByName(pages.select("doc_id", F.struct("page", "width", "height").alias("sheet")), allowMissingColumns=True)
-    names, schema = rows.columns, _arrow(_TABLES[kind])
+    """One grouped call per document over all its rows, which arrive in one shuffle.
+
+    The three tables are laid in one with flat columns, told apart by ``what``; columns that
+    a table lacks are null there and cost next to nothing.
+    """
+    parts = [(0, chars, CHAR_COLUMNS), (1, graphics, GRAPHIC_COLUMNS), (2, pages, PAGE_COLUMNS)]
+    rows = None
+    for what, df, names in parts:
+        if df is not None:
+            df = df.select("doc_id", F.lit(what).cast("tinyint").alias("what"), *names)
+            rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
+    schema = _arrow(_TABLES[kind])
+    several = graphics is not None or pages is not None
 
     def call(t: pa.Table) -> pa.Table:
         doc = t.column("doc_id")[0].as_py()
-        part = {n: [x for x in t.column(n).to_pylist() if x is not None] if n in names else [] for n in ("char", "graphic", "sheet")}
+        part = []
+        for what, df_names in ((0, CHAR_COLUMNS), (1, GRAPHIC_COLUMNS), (2, PAGE_COLUMNS)):
+            own = t.filter(pc.equal(t.column("what"), what)) if several else t if what == 0 else t.slice(0, 0)
+            part.append({n: own.column(n).to_pylist() if n in own.column_names else [] for n in df_names})
         try:
-            out = make(doc, pages_from_rows(part["char"], part["graphic"], part["sheet"]))
+            out = make(doc, pages_from_columns(*part))
         except Exception as e:  # one bad document must not end the job
             out = failed(doc, f"{type(e).__name__}: {e}") if failed else []
         return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
