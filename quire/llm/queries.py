@@ -58,4 +58,11 @@ def op10_arrow_sequences(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_warc_derivatives, op4_ogg_packets, op5_language_id, op6_url_rules, op7_chat_windows, op8_ngram_jaccard_join, op9_quality_llr, op10_arrow_sequences)}
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z_\x{80}-\x{10FFFF}]+')"
+ORACLE_SQL: dict[str, str] = {
+    "op8_ngram_jaccard_join": f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+ g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+ s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+ p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
+ SELECT doc_a, doc_b, CAST(c AS DOUBLE) / (x.n + y.n - c) AS jaccard FROM p JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b WHERE c >= 0.7 * (x.n + y.n - c)"""
+}
