@@ -578,3 +578,71 @@ def met_table_similarity(spark, sf_dir):
         return pd.DataFrame([(M.teds_struct(x, y), M.teds(x, y), M.teds_iou(x, y)) for x, y in zip(a, b)], columns=["structure", "content", "boxes"])
 
     return both.select("l_orderkey", score("html", "other").alias("s")).select("l_orderkey", "s.*")
+
+
+def _as_regions(x: DataFrame) -> DataFrame:
+    return x.select(F.col("page").cast("string").alias("doc_id"), F.lit(0).alias("page"), F.col("ord").alias("region"), F.col("flag").alias("class"), F.col("l").alias("left"), F.col("b").alias("bottom"), F.col("r").alias("right"), F.col("t").alias("top"), "confidence")
+
+
+@query()
+def met_region_report(spark, sf_dir):
+    """Greedy matches of even against odd boxes of every page, pooled per class."""
+    from .model import CLASSES
+    from .plans.evaluate import matches, report
+
+    kind = F.when(F.col("class") == "A", CLASSES[8]).when(F.col("class") == "R", CLASSES[6]).otherwise(CLASSES[9])
+    r = _as_regions(boxes(spark, sf_dir)).withColumn("class", kind)
+    return report(matches(r.where("region % 2 = 0"), r.where("region % 2 = 1"), 0.3))
+
+
+def _per_page(spark, sf_dir, make, schema: str) -> DataFrame:
+    """A function of one page's boxes, as blocks and graphics, over all pages."""
+    import pyarrow as pa
+
+    from .model import Block, Box, Char, Graphic, Line, Page, Word
+
+    kinds = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    names = [(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")]
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["ord"])
+        blocks, rules = [], []
+        for r in rows:
+            box = Box(5 * r["l"], 5 * r["b"], 5 * r["l"] + r["l_quantity"], 5 * r["b"] + 12)
+            text = f"b{r['ord']}"
+            blocks.append(Block(box, [Line(text, box, [Word(text, box, [Char(c, box, "", r["size"]) for c in text])])]))
+            rules.append(Graphic("stroke", Box(r["l"], r["b"], r["l"] + 1, r["t"]) if r["ord"] % 2 else Box(r["l"], r["b"], r["r"], r["b"] + 1), r["ord"]))
+        out = make(Page(0, 612.0, 792.0, blocks, rules))
+        cols = list(zip(*[(rows[0]["page"], *o) for o in out])) if out else [[]] * len(names)
+        return pa.table({n: pa.array(list(c), k) for (n, k), c in zip(names, cols)})
+
+    return boxes(spark, sf_dir).groupBy("page").applyInArrow(run, schema)
+
+
+@query()
+def ord_xy_cut(spark, sf_dir):
+    """Reading order of every page's blocks."""
+    from .operators.reading_order import least_gutter, xy_cut
+
+    return _per_page(spark, sf_dir, lambda p: [(i, b.text) for i, b in enumerate(xy_cut(list(p.blocks), least_gutter(p), p.height))], "page bigint, pos bigint, text string")
+
+
+@query()
+def reg_table_components(spark, sf_dir):
+    """Ruled tables of every page by connected rules."""
+    from .operators.regions import ruled_tables
+
+    return _per_page(spark, sf_dir, lambda p: [(i, *map(float, r.box)) for i, r in enumerate(ruled_tables(p))], "page bigint, pos bigint, l double, b double, r double, t double")
+
+
+@query()
+def min_reordered_pages(spark, sf_dir):
+    """How far assembly moves a page's tokens, and the fewest blocks that still show it."""
+    from .plans.corpus import minimize, reorder_rank
+
+    def make(p):
+        d = reorder_rank([p])[0]["distance"]
+        small = minimize(p) if d else None
+        return [(d, len(small.blocks) if small else 0)]
+
+    return _per_page(spark, sf_dir, make, "page bigint, distance bigint, fewest bigint")

@@ -83,3 +83,33 @@ def evaluate(sample: list[dict], threshold: float = 0.5) -> dict:
     """Scores of the classification of all pages against their truth."""
     found = regions.classify(document(sample))
     return metrics.evaluate_pages([([r for r in found if r.page == i], p["truth"]) for i, p in enumerate(sample)], threshold)
+
+
+def read_sample(spark, coco: str, cells: str):
+    """The same as tables: ``(truth, cells)`` with boxes turned round, one file per page beside the one of the images.
+
+    Annotations without an image are dropped; an image without a cells file stops the query. Of the two possible
+    cells files of an image ``<stem>.cells.json`` comes first.
+    """
+    from pyspark.sql import functions as F
+
+    box = "bbox array<double>"
+    schema = f"images array<struct<id: bigint, file_name: string, width: double, height: double>>, categories array<struct<id: bigint, name: string>>, annotations array<struct<image_id: bigint, category_id: bigint, {box.replace(' ', ': ')}>>"
+    c = spark.read.schema(schema).option("multiLine", True).json(coco)
+    images = c.select(F.posexplode("images").alias("page", "i")).select("page", "i.*", F.regexp_replace(F.regexp_replace("i.file_name", r"^.*/", ""), r"\.[^.]*$", "").alias("stem"))
+    by_id = F.create_map(*[F.lit(x) for n, k in enumerate(CLASSES, 1) for x in (n, k)])
+    by_name = F.create_map(*[F.lit(x) for name, n in _NAMES.items() for x in (name, CLASSES[n - 1])])
+    kinds = c.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.coalesce(F.try_element_at(by_id, F.col("c.id").cast("int")), F.try_element_at(by_name, F.col("c.name"))).alias("class"))
+    turned = lambda b, h: [b[0].alias("left"), (h - b[1] - b[3]).alias("bottom"), (b[0] + b[2]).alias("right"), (h - b[1]).alias("top")]
+    notes = c.select(F.posexplode("annotations").alias("region", "a")).select("region", "a.*")
+    truth = notes.join(images, notes["image_id"] == images["id"]).join(F.broadcast(kinds), "category_id")  # eleven rows
+    truth = truth.select("image_id", "page", "region", "class", *turned(F.col("bbox"), F.col("height")))
+    cell = "cells array<struct<text: string, bbox: array<double>, font_size: double, font: struct<size: double>>>, metadata struct<original_width: double, original_height: double>"
+    files = spark.read.schema(cell).option("multiLine", True).option("pathGlobFilter", "*.json").json(cells).select("*", F.regexp_replace("_metadata.file_name", r"(\.cells)?\.json$", "").alias("stem"), F.col("_metadata.file_name").endswith(".cells.json").alias("own"))
+    first = files.where("cells is not null").groupBy("stem").agg(F.max_by(F.struct("cells", "metadata"), "own").alias("f"))
+    j = images.join(first, "stem", "left").withColumn("cells", F.when(F.col("f").isNull(), F.raise_error(F.concat(F.lit("no cells of "), "stem")).cast("array<struct<text: string, bbox: array<double>, font_size: double, font: struct<size: double>>>")).otherwise(F.col("f.cells")))
+    m = F.col("f.metadata")
+    ok = lambda v: v.isNotNull() & ~F.isnan(v) & (v > 0)
+    scale = F.when(ok(m["original_width"]) & ok(m["original_height"]), F.col("height") / m["original_height"]).otherwise(F.lit(1.0))
+    out = j.select(F.col("id").alias("image_id"), "page", "height", scale.alias("scale"), F.posexplode("cells").alias("cell", "c"))
+    return truth, out.select("image_id", "page", "cell", "c.text", *turned(F.col("c.bbox"), F.col("height")), F.coalesce("c.font_size", "c.font.size", F.lit(DEFAULT_SIZE)).alias("size"), "scale")

@@ -98,3 +98,34 @@ def test_categories():
     assert D.category(11, "anything") == "title" and D.category(99, "Table") == "table"
     with pytest.raises(ValueError):
         D.category(99, "nothing")
+
+
+def test_report_at_scale_agrees(spark):
+    import random
+
+    from quire.plans import evaluate as E
+
+    r = random.Random(0)
+    pages = []
+    for _ in range(30):
+        make = lambda n: [Region(r.choice(["text", "table"]), Box(x := float(r.randrange(20)), y := float(r.randrange(20)), x + 5 + r.randrange(20), y + 5 + r.randrange(20)), r.choice([0.5, 0.7]), 0) for _ in range(n)]
+        pages.append((make(r.randrange(5)), make(r.randrange(5))))
+    frame = lambda k: spark.createDataFrame([(str(d), 0, i, x.kind, *map(float, x.box), float(x.confidence)) for d, p in enumerate(pages) for i, x in enumerate(p[k])], "doc_id string, page int, region int, class string, left double, bottom double, right double, top double, confidence double")
+    per = E.report(E.matches(frame(0), frame(1), 0.3))
+    want = M.evaluate_pages(pages, 0.3)
+    for row in per.collect():
+        assert row["f1"] == pytest.approx(want["f1"][row["class"]]) and row["mean_giou"] == pytest.approx(want["giou"][row["class"]]) and row["support"] == want["support"][row["class"]]
+    assert E.summary(per).first()["macro_f1"] == pytest.approx(want["macro_f1"])
+
+
+def test_sample_as_tables(spark):
+    s = D.load_sample(f"{HERE}/doclaynet/coco.json", f"{HERE}/doclaynet")
+    truth, cells = D.read_sample(spark, f"{HERE}/doclaynet/coco.json", f"{HERE}/doclaynet")
+    got = [(r["class"], r["left"], r["bottom"], r["right"], r["top"]) for r in truth.orderBy("page", "region").collect()]
+    assert got == [(t.kind, *t.box) for p in s for t in p["truth"]]
+    real = D.load_sample(f"{HERE}/doclaynet_real/coco.json", f"{HERE}/doclaynet_real/JSON")
+    _, cells = D.read_sample(spark, f"{HERE}/doclaynet_real/coco.json", f"{HERE}/doclaynet_real/JSON")
+    rows = cells.orderBy("page", "cell").collect()
+    assert [(r["text"], r["left"], r["top"], r["size"], r["scale"]) for r in rows] == [(t, b.left, b.top, z, p["scale"]) for p in real for t, b, z in p["cells"]]
+    with pytest.raises(Exception, match="no cells"):
+        D.read_sample(spark, f"{HERE}/doclaynet/coco.json", f"{HERE}/doclaynet_real/JSON")[1].collect()
