@@ -25,11 +25,13 @@ def matches(found: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataF
     """
     kinds = ["doc_id", "page", "region", "class", *_BOX]
     f = found.select(*kinds, F.coalesce("confidence", F.lit(0.0)).cast("double").alias("confidence"))
-    t = truth.select(*kinds, F.lit(1.0).alias("confidence"))
+    # names of its own, as both tables may come from one
+    t = truth.select(*kinds, F.lit(1.0).alias("confidence")).select(*(F.col(c).alias(f"t_{c}") for c in (*kinds, "confidence")))
 
     def regions(x: pa.Table) -> list[Region]:
         if not x.num_rows:  # a side without rows comes without columns
             return []
+        x = x.rename_columns([c.removeprefix("t_") for c in x.column_names])
         rows = sorted(x.select(["region", "class", *_BOX, "confidence"]).to_pylist(), key=lambda r: r["region"])
         return [Region(r["class"], Box(*(r[c] for c in _BOX)), r["confidence"], 0) for r in rows]
 
@@ -38,8 +40,8 @@ def matches(found: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataF
         rows = [(key[0].as_py(), key[1].as_py(), kind, m["tp"], m["fp"], m["fn"], sum(giou(a[i].box, b[j].box) for i, j in m["matches"])) for kind, m in metrics.match_regions(a, b, threshold).items()]
         return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate([("doc_id", pa.string()), ("page", pa.int32()), ("class", pa.string()), ("tp", pa.int64()), ("fp", pa.int64()), ("fn", pa.int64()), ("giou", pa.float64())])})
 
-    keys = lambda d: d.withColumns({"doc_id": F.col("doc_id").cast("string"), "page": F.col("page").cast("int")}).groupBy("doc_id", "page")
-    return keys(f).cogroup(keys(t)).applyInArrow(assign, "doc_id string, page int, class string, tp bigint, fp bigint, fn bigint, giou double")
+    keys = lambda d, p: d.withColumns({p + "doc_id": F.col(p + "doc_id").cast("string"), p + "page": F.col(p + "page").cast("int")}).groupBy(p + "doc_id", p + "page")
+    return keys(f, "").cogroup(keys(t, "t_")).applyInArrow(assign, "doc_id string, page int, class string, tp bigint, fp bigint, fn bigint, giou double")
 
 
 def report(pages: DataFrame) -> DataFrame:
