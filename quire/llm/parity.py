@@ -293,6 +293,8 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
     sent = need.join(found, "node").select("to", "node", "grams")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "n_a", "n_b", "common")})
         node = right.column("node").to_numpy()
         node, which = np.unique(node, return_index=True)
         grams = right.column("grams").combine_chunks()
@@ -303,12 +305,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
         g = grams.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
         ia, ib = np.searchsorted(node, a), np.searchsorted(node, b)
-        if not len(node):
-            ok, common, ia = np.zeros(len(a), bool), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-            size = np.zeros(1, np.int64)
-            ib = ia
-        else:
-            ok, common = verify_pairs(g, size, ia, ib, t)
+        ok, common = verify_pairs(g, size, ia, ib, t)
         return pa.table({"a": a[ok], "b": b[ok], "n_a": size[ia[ok]], "n_b": size[ib[ok]], "common": common[ok]})
 
     out = at.groupBy("cell").cogroup(sent.groupBy("to")).applyInArrow(check, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint")
@@ -330,14 +327,18 @@ def similar_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated = not several.isEmpty()
     own = ids.join(several, "doc_id", "left").withColumn("own", F.when(F.col("several").isNull(), F.col("doc_id"))) if repeated else ids.withColumn("own", F.col("doc_id"))
     names = materialize(own.groupBy("name").agg(F.coalesce(F.min("own"), F.col("name")).alias("node"), F.min("doc_id").alias("i")), "parity-names")
-    few = names.count() <= BROADCAST_ROWS
-    rows = index.withColumnRenamed("node", "name").withColumnRenamed("doc_id", "i").join(F.broadcast(names) if few else names, ["name", "i"])
+    if repeated:
+        rows = index.withColumnRenamed("node", "name").withColumnRenamed("doc_id", "i").join(names, ["name", "i"])
+    else:
+        # copies are few beside the index, whose long rows then needn't be shuffled
+        copies = materialize(ids.join(names, "name").where("doc_id <> i").select("doc_id"), "parity-copies")
+        rows = index.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti").withColumn("node", F.col("doc_id"))
     rows = rows.select(F.explode("names").alias("part"), "node", "meta").repartition("part").sortWithinPartitions("part", "node")
     agree = rows.mapInArrow(_pairs_of_groups(t), "a bigint, b bigint, w int").groupBy("a", "b").agg(F.sum("w").alias("w"))
     pairs = materialize(agree.where("w >= 2").select("a", "b"), "parity-candidates")
     found = _verify(pairs, names, docs, id_col, text_col, n, t)
-    nodes = materialize(ids.join(F.broadcast(names.select("name", "node")) if few else names.select("name", "node"), "name").select("doc_id", "node"), "parity-nodes")
-    discard(index, pairs, names, several)
+    nodes = materialize(ids.join(names.select("name", "node"), "name").select("doc_id", "node"), "parity-nodes")
+    discard(index, pairs, names, several, None if repeated else copies)
     return nodes, found, repeated
 
 
