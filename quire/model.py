@@ -55,7 +55,7 @@ def hull(boxes) -> Box:
 
 def upper_median(values) -> float | None:
     """The middle value, of two the larger; None for none."""
-    v = sorted(values)
+    v = sorted(values)  # linear where all are equal, as they mostly are
     return v[len(v) // 2] if v else None
 
 
@@ -102,7 +102,7 @@ class Block:
         return [c for line in self.lines for c in line.chars()]
 
     def size(self) -> float | None:
-        return upper_median(c.size for c in self.chars())
+        return upper_median([c.size for c in self.chars()])
 
 
 class Graphic(NamedTuple):

@@ -34,9 +34,11 @@ def words(chars) -> list[Word]:
     for c in chars:
         cut = space = c.text is not None and c.text.isspace()
         if prev is not None and not cut:
-            em = max(c.size, prev.size, 1.0)
-            apart = abs(c.box.bottom - prev.box.bottom) > em * BASELINE or c.box.left - prev.box.right > em * WORD_GAP
-            cut = apart and not _script(prev, c)
+            a, b = prev.box, c.box
+            # level and touching, as most are, needs no closer look
+            if a.bottom != b.bottom or b.left > a.right:
+                em = max(c.size, prev.size, 1.0)
+                cut = (abs(b.bottom - a.bottom) > em * BASELINE or b.left - a.right > em * WORD_GAP) and not _script(prev, c)
         if cut and run:
             out.append(_word(run))
             run = []
@@ -87,18 +89,21 @@ def group(chars) -> list[Block]:
     return blocks(lines(words(chars)))
 
 
-def _style_break(a: Line, b: Line) -> bool:
-    x, y = upper_median(c.size for c in a.chars()) or 0.0, upper_median(c.size for c in b.chars()) or 0.0
-    return (x > 0 and y > 0 and max(x / y, y / x) >= STYLE_RATIO) or is_bold(a.chars()) != is_bold(b.chars())
-
-
 def split_styles(bs: list[Block]) -> list[Block]:
     """Blocks cut where the size jumps or boldness changes from one line to the next."""
     out = []
     for b in bs:
-        parts = [[b.lines[0]]] if b.lines else []
-        for prev, line in zip(b.lines, b.lines[1:]):
-            parts.append([line]) if _style_break(prev, line) else parts[-1].append(line)
+        if len(b.lines) < 2:
+            out.append(b)
+            continue
+        styles = []
+        for line in b.lines:
+            chars = line.chars()
+            styles.append((upper_median([c.size for c in chars]) or 0.0, is_bold(chars)))
+        parts = [[b.lines[0]]]
+        for line, (x, p), (y, q) in zip(b.lines[1:], styles, styles[1:]):
+            cut = p != q or (x > 0 and y > 0 and max(x / y, y / x) >= STYLE_RATIO)
+            parts.append([line]) if cut else parts[-1].append(line)
         out += [b] if len(parts) < 2 else [Block(hull(x.box for x in p), p) for p in parts]
     return out
 

@@ -12,6 +12,8 @@ CHAPTER = re.compile(r"\s*(?i:chapter|section|part|appendix)\s*(?:[0-9]|[A-Z](?:
 FOOTNOTE = re.compile(r"\s*(?:[†‡§¶]|\*(?:\Z|\S)|[\u2070-\u2079]|[0-9]{1,3}(?:[.)]\s|\s))")
 MATH = re.compile(r"[0-9=+\-*/^()\[\]{}\u0370-\u03ff\u2200-\u22ff]")
 MATH_SHARE = 0.15
+_DIGITS, _AGAIN = re.compile("[0-9]+"), re.compile("(?<=\x01 )\x01")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def is_list_item(t: str) -> bool:
@@ -45,19 +47,8 @@ def running_text(t: str) -> str:
 
     A run of digits is one ``#``; digits that follow on over a space add nothing.
     """
-    out, digits = [], False
-    for word in t.split():
-        mine = []
-        for c in word:
-            if c in "0123456789":
-                if not digits:
-                    mine.append("#")
-                digits = True
-            else:
-                digits = False
-                mine.append(c.lower() if c.isascii() else c)
-        out.append("".join(mine))
-    return " ".join(out)
+    t = _DIGITS.sub("\x01", " ".join(t.replace("\x01", "").split()).translate(_LOWER))
+    return _AGAIN.sub("", t).replace("\x01", "#")
 
 
 def join_hyphenated(a: str, b: str) -> str:

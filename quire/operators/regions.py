@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from ..model import Block, Box, Graphic, Line, Page, Region, hull, upper_median
 from . import phrases as P
-from .style import char_is_bold, is_bold
+from .style import BOLD_SHARE, bold_share, is_bold
 
 RULE_THICKNESS, RULE_LENGTH, TOUCH, GRID_LINES = 2.0, 10.0, 3.0, 2
 FILL_AREA, FULL_PAGE = 900.0, 0.5
@@ -246,7 +246,7 @@ def classify(pages: list[Page]) -> list[Region]:
     for p in pages:
         chars = p.chars()
         body = upper_median(c.size for c in chars) or 0.0
-        bold = bool(chars) and sum(map(char_is_bold, chars)) / len(chars) >= 0.8
+        bold = bold_share(chars) >= BOLD_SHARE
         tables, pics = ruled_tables(p), pictures(p)
         free = [b for b in p.blocks if not any(r.box.holds_center(b.box) for r in tables + pics)]
         loose = open_tables(free, p.height, p.index)

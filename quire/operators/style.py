@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import lru_cache
+
 BOLD_SHARE = 0.8
 BOLD_WEIGHT, REAL_WEIGHT = 700, 100
 BOLD_NAMES = ("bold", "black", "heavy")
 
 
+@lru_cache(4096)
+def _bold(weight: int | None, font: str) -> bool:
+    if weight is not None and weight >= REAL_WEIGHT:
+        return weight >= BOLD_WEIGHT
+    name = font.lower()
+    return any(x in name for x in BOLD_NAMES)
+
+
 def char_is_bold(c) -> bool:
     """By the weight if it is plausible, else by the font's name."""
-    if c.weight is not None and c.weight >= REAL_WEIGHT:
-        return c.weight >= BOLD_WEIGHT
-    name = c.font.lower()
-    return any(x in name for x in BOLD_NAMES)
+    return _bold(c.weight, c.font)
+
+
+def bold_share(chars) -> float:
+    """Share of bold characters, 0 for none; counted by weight and font, of which there are few."""
+    kinds = Counter([(c.weight, c.font) for c in chars])
+    total = sum(kinds.values())
+    return sum(n for k, n in kinds.items() if _bold(*k)) / total if total else 0.0
 
 
 def is_bold(chars) -> bool:
-    chars = list(chars)
-    return bool(chars) and sum(map(char_is_bold, chars)) / len(chars) >= BOLD_SHARE
+    return bold_share(chars) >= BOLD_SHARE

@@ -31,22 +31,26 @@ def pages_from_columns(chars: dict[str, list], graphics: dict[str, list], pages:
 
     Coordinates must be numbers; a page that only characters or graphics mention is US Letter.
     """
-    by: dict[int, list[tuple[int, Char]]] = defaultdict(list)
-    for page, seq, ch, left, bottom, right, top, font, size, weight, angle in zip(*(chars[c] for c in CHAR_COLUMNS)):
-        if ch == "\n" or ch == "\r":
-            continue
-        box = Box(left, bottom, right, top)
-        if None in box or any(map(math.isnan, box)):
-            raise ValueError(f"character {seq} of page {page} has no box")
-        by[page].append((seq, Char(ch, box, font or "", size or 0.0, weight, angle or 0.0)))
+    for c in ("left", "bottom", "right", "top"):
+        column = chars[c]
+        if None in column or math.isnan(sum(column)):
+            k = next(i for i, v in enumerate(column) if v is None or v != v or math.isinf(v))
+            raise ValueError(f"character {chars['seq'][k]} of page {chars['page'][k]} has no box")
+    boxes = map(Box, *(chars[c] for c in ("left", "bottom", "right", "top")))
+    made = list(map(Char, chars["ch"], boxes, [f or "" for f in chars["font"]], [s or 0.0 for s in chars["size"]], chars["weight"], [a or 0.0 for a in chars["angle"]]))
+    seq, page_of = chars["seq"], chars["page"]
+    by: dict[int, list[Char]] = defaultdict(list)
+    for k in sorted(range(len(seq)), key=seq.__getitem__):
+        c = made[k]
+        if c.text != "\n" and c.text != "\r":
+            by[page_of[k]].append(c)
     drawn: dict[int, list[Graphic]] = defaultdict(list)
     for page, z, kind, left, bottom, right, top, stroke, stroked, filled in zip(*(graphics[c] for c in GRAPHIC_COLUMNS)):
         drawn[page].append(Graphic(kind, Box(left, bottom, right, top), z, 1.0 if stroke is None else stroke, stroked is not False, bool(filled)))
     size = {p: (w, h) for p, w, h in zip(*(pages[c] for c in PAGE_COLUMNS))}
     out = []
     for i in sorted({*by, *drawn, *size}):
-        stream = [c for _, c in sorted(by[i], key=lambda x: x[0])]
-        out.append(Page(i, *size.get(i, (612.0, 792.0)), grouping.group(stream), sorted(drawn[i], key=lambda g: g.z)))
+        out.append(Page(i, *size.get(i, (612.0, 792.0)), grouping.group(by[i]), sorted(drawn[i], key=lambda g: g.z)))
     return out
 
 
