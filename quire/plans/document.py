@@ -140,8 +140,15 @@ def markdown_table(chars: DataFrame, graphics: DataFrame | None = None, pages: D
 
 
 def typeset_chars(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_page: int = 50, size: float = 10.0) -> DataFrame:
-    """A character table of plain texts set in a fixed-width face, ``per_page`` lines to a page."""
-    rows = texts.select(F.col(id_col).cast("string").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("k", "line"))
+    """A character table of plain texts set in a fixed-width face, ``per_page`` lines to a page.
+
+    The texts are shuffled by document, so that their characters, fifty times as large, needn't be
+    for the steps that follow. The number of partitions is fixed, as it is the work on them that
+    counts, not their bytes.
+    """
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).repartition(partitions, "doc_id")
+    rows = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
     chars = rows.select("doc_id", "k", F.posexplode(F.split("line", "")).alias("i", "ch")).where("ch <> ''")
     left, top = F.lit(72.0) + F.col("i") * 0.6 * size, F.lit(740.0) - (F.col("k") % per_page) * 1.4 * size
     return chars.select("doc_id", F.floor(F.col("k") / per_page).cast("int").alias("page"), (F.col("k").cast("bigint") * (1 << 32) + F.col("i")).alias("seq"), "ch", left.cast("float").alias("left"), (top - size).cast("float").alias("bottom"), (left + 0.6 * size).cast("float").alias("right"), top.cast("float").alias("top"), F.lit("Fixed").alias("font"), F.lit(size).cast("float").alias("size"), F.lit(None).cast("int").alias("weight"), F.lit(0.0).cast("float").alias("angle"))
