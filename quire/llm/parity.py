@@ -377,7 +377,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     lost = materialize(lost, "parity-lost")
     discard(nodes, found, groups)
     small = lost.count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(lost) if small else lost, F.col(id_col).cast("bigint") == F.col("_lost"), "left_anti")
+    rows = docs.join(F.broadcast(lost) if small else lost, docs[id_col].cast("bigint") == lost["_lost"], "left_anti")
     return _first_of_id(rows, id_col)
 
 

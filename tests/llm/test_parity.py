@@ -9,7 +9,7 @@ from quire.llm import parity as P
 from quire.llm.components import components
 from quire.llm.shared import text_parts
 
-SCHEMA = "doc_id bigint, text string, node string, jaccard string, a int, names string, part string, lang string, source string, n_chars bigint"
+SCHEMA = "doc_id bigint, text string, node string, jaccard string, a int, names string, part string, _lost string, _twice string, count bigint"
 
 
 def frame(spark, rows):
