@@ -19,7 +19,6 @@ from .shared import discard, materialize
 MIN_SUPPORT = 0.002
 MIN_COUNT = 10
 MIN_CONFIDENCE = 0.8
-MAX_TOKENS = 3
 BAD = "label:bad"
 #: Rules up to which the index is broadcast.
 BROADCAST_ROWS = 100_000
@@ -45,7 +44,7 @@ def mine(urls: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: s
     """Rules ``tokens, confidence, support`` from ``labels`` (``id, bad``), written to the shared folder.
 
     Every labelled URL counts. Ids labelled more than once are bad if any label says so.
-    Rules have ``MAX_TOKENS`` tokens at most. Labels without bad URLs, or none, give no rule.
+    Rules may have any number of tokens. Labels without bad URLs, or none, give no rule.
     """
     known = labels.where("id is not null and bad is not null").groupBy("id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     base = urls.select(F.col(id_col).cast("bigint").alias("id"), tokens(F.col(url_col)).alias("tokens")).join(known, "id").where(F.size("tokens") > 0)
@@ -61,16 +60,35 @@ def mine(urls: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: s
     useful = [r["x"] for r in useful.collect()]
     slim = baskets.select(F.array_intersect("items", F.lit(useful)).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(slim)
-    r = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= MAX_TOKENS)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    r = model.associationRules.where(F.element_at("consequent", 1) == BAD).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     r = materialize(r, "url-rules-all")
-    a, b = r.alias("a"), r.alias("b")
-    wider = (F.size("b.tokens") < F.size("a.tokens")) & (F.size(F.array_except("b.tokens", "a.tokens")) == 0) & (F.col("b.confidence") >= F.col("a.confidence"))
-    # general rules are looked up by each of their tokens' presence: rules are few beside the data
-    kept = materialize(a.join(b, wider, "left_anti"), "url-rules")
+    kept = prune(r)
     discard(baskets, r)
     return kept
 
 
+def prune(rules: DataFrame) -> DataFrame:
+    """The rules that no rule of fewer tokens, all of them theirs, and of no less confidence implies.
+
+    Goes by the number of tokens: what a dropped rule implies, the one that implied it implies
+    too, so each size is compared with the kept rules of smaller sizes only, by an equi-join on their first token.
+    """
+    sizes = sorted(x[0] for x in rules.select(F.size("tokens")).distinct().collect())
+    kept, levels = None, []
+    for n in sizes:
+        level = rules.where(F.size("tokens") == n)
+        if kept is not None:
+            general = kept.select(F.col("tokens")[0].alias("token"), F.col("tokens").alias("fewer"), F.col("confidence").alias("surer"))
+            implied = level.select("tokens", "confidence", F.explode("tokens").alias("token")).join(general, "token")
+            implied = implied.where((F.col("surer") >= F.col("confidence")) & (F.size(F.array_except("fewer", "tokens")) == 0))
+            level = level.join(implied.select("tokens").distinct(), "tokens", "left_anti").select(*rules.columns)
+        levels.append(materialize(level, "url-rules-level"))
+        kept = levels[-1] if kept is None else kept.unionAll(levels[-1])
+    out = materialize(rules if kept is None else kept, "url-rules")
+    discard(*levels)
+    return out
+
+
 def apply_rules(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id, n_rules, confidence, rule, keep`` of every URL.
 

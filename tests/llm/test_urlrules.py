@@ -51,6 +51,42 @@ def test_rules_against_counting(spark):
     assert not got[1]["keep"] and got[2]["keep"] and got[3]["keep"]
 
 
+def test_rules_of_every_size_against_counting(spark):
+    """Bad are 20 URLs with all of host, two path words and a key; any three of them occur on 10 good ones too."""
+    parts = ["bad.example.com", "pills", "cheap", "ref"]
+    others = ["good.example.com", "news", "daily", "page"]
+    pages, labels = [], []
+    for lack, n in [(None, 20), *((k, 10) for k in range(4))]:
+        for _ in range(n):
+            host, a, b, key = (others[k] if k == lack else x for k, x in enumerate(parts))
+            labels.append((len(pages), lack is None))
+            pages.append((len(pages), f"https://{host}/{a}/{b}?{key}=1"))
+    df = urls(spark, pages)
+    sets = {r["page_id"]: set(r["t"]) for r in df.select("page_id", U.tokens(F.col("url")).alias("t")).collect()}
+    bad = {i for i, b in labels if b}
+    every = sorted(set().union(*sets.values()))
+    want = {}
+    for n in range(1, len(every) + 1):
+        for c in combinations(every, n):
+            hit = [i for i, s in sets.items() if s >= set(c)]
+            if (hits := sum(i in bad for i in hit)) >= 10 and hits / len(hit) >= 0.8:
+                want[c] = hits / len(hit)
+    want = {c: v for c, v in want.items() if not any(set(d) < set(c) and w >= v for d, w in want.items())}
+    assert list(want) == [tuple(sorted(["host:bad.example.com", "path:pills", "path:cheap", "key:ref"]))]
+    rules = U.mine(df, spark.createDataFrame(labels, "id bigint, bad boolean"))
+    assert {tuple(r["tokens"]): r["confidence"] for r in rules.collect()} == want
+    assert {r["page_id"] for r in U.apply_rules(df, rules).where("not keep").collect()} == bad
+
+
+def test_pruning_against_counting(spark):
+    """A rule may be implied by one two tokens shorter although the one between is less sure, or absent."""
+    rules = [("a", 0.9), ("ab", 0.85), ("abc", 0.88), ("abcd", 0.95), ("bd", 0.95), ("bcde", 0.96), ("cf", 1.0), ("cdef", 1.0), ("abcdef", 1.0)]
+    df = spark.createDataFrame([(list(t), c, 0.1) for t, c in rules], "tokens array<string>, confidence double, support double")
+    want = {t for t, c in rules if not any(set(u) < set(t) and d >= c for u, d in rules)}
+    assert sorted("".join(r["tokens"]) for r in U.prune(df).collect()) == sorted(want)
+    assert U.prune(df.limit(0)).collect() == []
+
+
 def test_edge_cases(spark):
     pages, labels = fixture()
     odd = [(500, None), (501, ""), (None, pages[1][1]), (1, pages[1][1]), (502, "http://x/" + "a/" * 30_000)]
