@@ -231,7 +231,10 @@ def _rules(spark, sf_dir):
  x AS (SELECT a.page, a.pos AS col_lo, a.nxt AS col_hi, b.pos AS row_lo, b.nxt AS row_hi FROM n a JOIN n b USING (page) WHERE NOT a.flat AND b.flat AND a.nxt IS NOT NULL AND b.nxt IS NOT NULL)
  SELECT x.page, x.row_lo, x.col_lo, count(*) AS n, string_agg(CAST(o.ord AS VARCHAR), '<br>' ORDER BY o.ord) AS text FROM x JOIN boxes o ON o.page = x.page AND o.t > row_lo AND o.b < row_hi AND o.r > col_lo AND o.l < col_hi GROUP BY 1, 2, 3""")
 def reg_grid_cells(spark, sf_dir):
-    """Blocks in every cell of a grid that they overlap; cuts lie four apart, so none is within tolerance of another."""
+    """Blocks in every cell of a grid that they overlap, from rules at every fourth point only, as its SQL has it.
+
+    Such cuts are never within tolerance of each other; :func:`reg_ruled_grids` takes all rules and merges them.
+    """
     b = G.box()
     k = _rules(spark, sf_dir).where(G.is_rule(b, F.lit("stroke"), F.lit(True))).withColumn("flat", G.is_flat(b))
     k = k.where(F.floor(F.when(F.col("flat"), F.col("b")).otherwise(F.col("l"))) % 4 == 0)
@@ -635,6 +638,19 @@ def reg_table_components(spark, sf_dir):
     return _per_page(spark, sf_dir, lambda p: [(i, *map(float, r.box)) for i, r in enumerate(ruled_tables(p))], "page bigint, pos bigint, l double, b double, r double, t double")
 
 
+@query()
+def reg_ruled_grids(spark, sf_dir):
+    """Cells of every page's grid, from all its rules with those within tolerance merged, and the blocks in them; empty cells too."""
+    from .model import hull
+    from .operators.regions import grid_cells, is_rule
+
+    def make(p):
+        grid = grid_cells(hull(g.box for g in p.graphics if is_rule(g)), p.graphics, p.blocks) or []
+        return [(i, j, text) for i, row in enumerate(grid) for j, text in enumerate(row)]
+
+    return _per_page(spark, sf_dir, make, "page bigint, row bigint, col bigint, text string")
+
+
 @query()
 def min_reordered_pages(spark, sf_dir):
     """How far assembly moves a page's tokens, and the fewest blocks that still show it."""

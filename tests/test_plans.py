@@ -117,6 +117,42 @@ def test_query_without_sql_gives_rows(spark, name):
     assert queries.QUERIES[name](spark, TINY).count() > 0
 
 
+def test_ruled_grids_against_brute_force(spark):
+    """Every rule counts; of those within 3 points of each other the first; a block is in a grid that holds its centre."""
+    pages, want, rules, merged = {}, set(), 0, 0
+    for r in queries.boxes(spark, TINY).collect():
+        pages.setdefault(r["page"], []).append(r)
+    for page, rows in pages.items():
+        rows.sort(key=lambda r: r["ord"])
+        thin = [(r["l"], r["b"], r["l"] + 1, r["t"]) if r["ord"] % 2 else (r["l"], r["b"], r["r"], r["b"] + 1) for r in rows]
+        thin = [x for x in thin if (x[2] - x[0] <= 2 and x[3] - x[1] >= 10) or (x[3] - x[1] <= 2 and x[2] - x[0] >= 10)]
+        cuts = {True: [], False: []}
+        for l, b, r, t in thin:  # noqa: E741
+            flat = r - l >= t - b
+            at = (b + t) / 2 if flat else (l + r) / 2
+            if any(-3 <= x - at <= 3 for x in cuts[flat]):
+                merged += 1
+            else:
+                cuts[flat].append(at)
+        rules += len(thin)
+        if min(map(len, cuts.values())) < 2:
+            continue
+        left, low, right, high = (f(x) for f, x in zip((min, min, max, max), zip(*thin)))
+        ys, xs = sorted(cuts[True])[::-1], sorted(cuts[False])
+        for i in range(len(ys) - 1):
+            for j in range(len(xs) - 1):
+                cell = []
+                for r in rows:
+                    x0, y0 = 5 * r["l"], 5 * r["b"]
+                    x1, y1 = x0 + float(r["l_quantity"]), y0 + 12
+                    if left <= (x0 + x1) / 2 <= right and low <= (y0 + y1) / 2 <= high and y1 > ys[i + 1] and y0 < ys[i] and x1 > xs[j] and x0 < xs[j + 1]:
+                        cell.append(f"b{r['ord']}")
+                want.add((page, i, j, "<br>".join(cell)))
+    got = [tuple(r) for r in queries.QUERIES["reg_ruled_grids"](spark, TINY).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert rules > 5000 and merged > 100 and sum(bool(x[3]) for x in want) > 100 and any("<br>" in x[3] for x in want)
+
+
 def test_registry(spark):
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and set(queries.QUERIES) <= set(q)
