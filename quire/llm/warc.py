@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 DATE = "2024-01-01T00:00:00Z"
 FIELDS = [("key", pa.int64()), ("source_id", pa.string()), ("type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("block_digest", pa.string()), ("digests_ok", pa.bool_()), ("record", pa.binary()), ("error", pa.string())]
 SCHEMA = "key bigint, source_id string, type string, record_id string, refers_to string, target_uri string, date string, block_digest string, digests_ok boolean, record binary, error string"
+#: What damaged files and bodies raise.
+FAULTS = (ValueError, OSError, EOFError, zlib.error)
 _DROP = re.compile(r"<!--.*?-->|<(script|style|head|noscript|template)\b.*?</\1\s*>", re.I | re.S)
 _BLOCK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|table|tr|article|section|header|footer|nav|blockquote|pre|main|aside)\b|[bh]r\b)[^>]*>", re.I)
 _TAG = re.compile(r"<[^<>]*>")
@@ -52,17 +54,16 @@ def response_record(key: int | None, url: str, body: bytes, date: str = DATE, mi
     return make_record([("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", str(key), url)), ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response")], block)
 
 
-def _headers(raw: bytes) -> dict[str, str]:
-    out: dict[str, str] = {}
-    last = None
+def _headers(raw: bytes) -> list[tuple[str, str]]:
+    """Headers in order, names in lower case; repeated ones each."""
+    out: list[tuple[str, str]] = []
     for line in raw.split(b"\r\n"):
         text = line.decode("utf-8", "replace")
-        if text[:1] in " \t" and last:
-            out[last] += " " + text.strip()
+        if text[:1] in " \t" and out:
+            out[-1] = (out[-1][0], out[-1][1] + " " + text.strip())
         elif ":" in text:
             k, v = text.split(":", 1)
-            last = k.strip().lower()
-            out[last] = v.strip()
+            out.append((k.strip().lower(), v.strip()))
     return out
 
 
@@ -81,7 +82,7 @@ def read_records(data: bytes):
         end = data.find(b"\r\n\r\n", i)
         if end < 0:
             raise ValueError("header without end")
-        h = _headers(data[data.index(b"\r\n", i) + 2 : end])
+        h = dict(_headers(data[data.index(b"\r\n", i) + 2 : end]))
         n = int(h.get("content-length", "-1"))
         if n < 0 or end + 4 + n > len(data):
             raise ValueError("block cut short")
@@ -97,11 +98,11 @@ def to_text(source: str) -> str:
     return _LINES.sub("\n", _SPACES.sub(" ", t)).strip()
 
 
-def _http(block: bytes) -> tuple[str, dict[str, str], bytes]:
+def _http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     head, _, body = block.partition(b"\r\n\r\n")
     status, _, rest = head.partition(b"\r\n")
     h = _headers(rest)
-    coding = h.get("content-encoding", "").lower()
+    coding = dict(h).get("content-encoding", "").lower()
     raw = body
     if coding in ("gzip", "x-gzip"):
         raw = gzip.decompress(body)
@@ -117,7 +118,7 @@ def derive_record(h: dict[str, str], block: bytes):
     stored = block.partition(b"\r\n\r\n")[2]
     want = [(h.get("warc-payload-digest"), stored), (h.get("warc-block-digest"), block)]
     ok = all(w is None or not w.lower().startswith("sha1:") or w.lower() == digest(b).lower() for w, b in want)
-    mime = http.get("content-type", "")
+    mime = dict(http).get("content-type", "")
     charset = (m := _CHARSET.search(mime)) and m[1] or "utf-8"
     try:
         page = body.decode(charset, "replace")
@@ -125,7 +126,7 @@ def derive_record(h: dict[str, str], block: bytes):
         page = body.decode("utf-8", "replace")
     is_html = "html" in mime.lower() or not mime
     title = to_text(m[1]) if is_html and (m := _TITLE.search(page)) else ""
-    fields = [("source-record-id", source), ("http-status", status), *((f"http-{k}", v) for k, v in http.items()), ("source-payload-digest", h.get("warc-payload-digest", "")), ("source-block-digest", h.get("warc-block-digest", "")), ("charset", charset), ("title", title)]
+    fields = [("source-record-id", source), ("http-status", status), *((f"http-{k}", v) for k, v in http), ("source-payload-digest", h.get("warc-payload-digest", "")), ("source-block-digest", h.get("warc-block-digest", "")), ("charset", charset), ("title", title)]
     meta = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields).encode()
     text = (to_text(page) if is_html else page).encode()
     out = []
@@ -142,7 +143,8 @@ def derive(files: DataFrame, key_col: str = "key", warc_col: str = "warc") -> Da
     """Derivatives of all responses in a column of WARC bytes.
 
     Columns as in ``SCHEMA``; ``digests_ok`` says whether the source's own SHA-1 digests hold
-    (missing ones do). Records that aren't responses are passed over. A
+    (missing ones do). Records that aren't responses are passed over. A response whose body can't
+    be decoded gives one row with its source's id, target, date and ``error``, and the next ones follow. A
     file that can't be read gives the records before the fault, then one row with only
     ``key`` and ``error``; null and empty files give no row. Repeated rows are done each.
     """
@@ -157,11 +159,16 @@ def derive(files: DataFrame, key_col: str = "key", warc_col: str = "warc") -> Da
                     for h, block in read_records(raw.as_py()):
                         if h.get("warc-type", "").lower() != "response":
                             continue
-                        out, ok = derive_record(h, block)
+                        try:
+                            out, ok = derive_record(h, block)
+                        except FAULTS as e:
+                            source = h.get("warc-record-id")
+                            rows.append((key, source, None, None, source, h.get("warc-target-uri"), h.get("warc-date"), None, None, None, f"{type(e).__name__}: {e}"))
+                            continue
                         for kind, rid, d, rec in out:
                             rows.append((key, h.get("warc-record-id"), kind, rid, h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), d, ok, rec, None))
                             size += len(rec)
-                except (ValueError, OSError, EOFError, zlib.error) as e:
+                except FAULTS as e:
                     rows.append((key, *[None] * 9, f"{type(e).__name__}: {e}"))
                 if size > 8 << 20:
                     yield _batch(rows)

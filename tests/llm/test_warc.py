@@ -51,3 +51,24 @@ def test_files_compressed_damaged_and_empty(spark):
     assert {r["key"] for r in rows if r["error"]} == {3, 6}
     assert [r["digests_ok"] for r in rows if r["key"] == 7] == [False, False]
     assert warc.derive(df.limit(0)).collect() == []
+
+
+def http_record(key, body, *headers):
+    head = "".join(f"{k}: {v}\r\n" for k, v in headers)
+    return warc.make_record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{key}>"), ("WARC-Target-URI", f"http://{key}.example")], f"HTTP/1.1 200 OK\r\n{head}\r\n".encode() + body)
+
+
+def test_a_body_that_cannot_be_decoded_costs_its_own_record_only(spark):
+    whole = gzip.compress(b"<p>hi")
+    records = [http_record("a", whole, ("Content-Encoding", "gzip")), http_record("b", whole[:-12], ("Content-Encoding", "gzip")), http_record("c", b"junk", ("Content-Encoding", "deflate")), http_record("d", b"<p>ho")]
+    rows = warc.derive(spark.createDataFrame([(1, b"".join(records))], "key bigint, warc binary")).collect()
+    assert [(r["source_id"], r["type"]) for r in rows] == [("<urn:uuid:a>", "metadata"), ("<urn:uuid:a>", "conversion"), ("<urn:uuid:b>", None), ("<urn:uuid:c>", None), ("<urn:uuid:d>", "metadata"), ("<urn:uuid:d>", "conversion")]
+    assert [bool(r["error"]) for r in rows] == [False, False, True, True, False, False]
+    assert rows[2]["target_uri"] == "http://b.example" and rows[2]["record"] is None
+
+
+def test_repeated_headers_are_kept_in_order():
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nLink: <x>\r\n more\r\nSet-Cookie: b=2\r\n\r\nhi"
+    out, _ = warc.derive_record({}, block)
+    ((_, meta),) = warc.read_records(out[0][3])
+    assert b"http-set-cookie: a=1\r\nhttp-link: <x> more\r\nhttp-set-cookie: b=2\r\n" in meta
