@@ -212,8 +212,10 @@ def _pairs_of_groups(t: float):
             if last == 0 and kept and kept[-1][0][-1] == key[0]:
                 kept.append((key, node, meta))
                 continue
-            kept.append((key[:last], node[:last], meta[:last]))
-            yield from out(pairs(*whole(kept)))
+            if last:
+                kept.append((key[:last], node[:last], meta[:last]))
+            if kept:
+                yield from out(pairs(*whole(kept)))
             kept = [(key[last:], node[last:], meta[last:])]
         if kept:
             yield from out(pairs(*whole(kept)))

@@ -91,6 +91,21 @@ def test_keep_one_of_each_group(spark):
     assert P.keep_one(df.limit(0)).collect() == []
 
 
+def test_a_table_of_one_part_name(spark):
+    for rows in ([(1, "word")], [(1, "word"), (2, "Word"), (2, "word")]):
+        df = frame(spark, rows)
+        assert {(r["doc_a"], r["doc_b"]) for r in P.jaccard_join(df).collect()} == set(brute(rows))
+        assert [r["doc_id"] for r in P.keep_one(df).collect()] == [1]
+
+
+def test_groups_of_part_names_over_batches():
+    """A batch of one name, first or later, and one that goes on with the name before it."""
+    batch = lambda *rows: pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*((k, n, 1 << P.SKETCH_BITS) for k, n in rows))], names=["part", "node", "meta"])
+    batches = [batch((1, 1)), batch((1, 2)), batch((2, 3)), batch((2, 4), (3, 5)), batch((3, 6))]
+    got = [tuple(r.values()) for b in P._pairs_of_groups(0.7)(iter(batches)) for r in b.select(["a", "b"]).to_pylist()]
+    assert got == [(1, 2), (3, 4), (5, 6)]
+
+
 def test_a_large_group_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(P, "BLOCK", 8)
     r = random.Random(2)
