@@ -25,8 +25,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .scan import mix, ngrams, tokens
@@ -317,7 +318,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
 
 
 def similar_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, t: float = THRESHOLD, equal: float = EQUAL) -> tuple[DataFrame, DataFrame, bool]:
-    """``(doc_id, node)`` of every text with an n-gram, the verified pairs of nodes, and whether ids repeat.
+    """``(doc_id, node, name)`` of every text with an n-gram, the verified pairs of nodes, and whether ids repeat.
 
     A node goes by the least id that has its set (ids are short, which halves what is
     shuffled), or by the hash of the set if all its ids have several sets. Both tables are
@@ -339,7 +340,7 @@ def similar_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     agree = rows.mapInArrow(_pairs_of_groups(t), "a bigint, b bigint, w int").groupBy("a", "b").agg(F.sum("w").alias("w"))
     pairs = materialize(agree.where("w >= 2").select("a", "b"), "parity-candidates")
     found = _verify(pairs, names, docs, id_col, text_col, n, t)
-    nodes = materialize(ids.join(names.select("name", "node"), "name").select("doc_id", "node"), "parity-nodes")
+    nodes = materialize(ids.join(names.select("name", "node"), "name").select("doc_id", "node", "name"), "parity-nodes")
     discard(index, pairs, names, several, None if repeated else copies)
     return nodes, found, repeated
 
@@ -369,25 +370,46 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """The rows of ``docs``, of each group of similar texts only the one of least id.
 
     Groups are the connected components of the join. Texts without a word and rows without
-    id belong to none and stay; of repeated rows with one id one stays.
+    id belong to none and stay. An id that occurs with several texts is judged text by text; of rows
+    that repeat both id and text one stays, as of texts of one id that have the same set (the least).
     """
     nodes, found, _ = similar_nodes(docs, id_col, text_col, n, t, equal)
     groups = components(found.select("a", "b"))
-    of = nodes.join(groups.withColumnRenamed("item", "node"), "node", "left").select("doc_id", F.coalesce("group", "node").alias("group"))
-    best = of.groupBy("group").agg(F.min("doc_id").alias("best"))
-    lost = of.join(best, "group").where("doc_id <> best").select(F.col("doc_id").alias("_lost")).distinct()
+    of = nodes.join(groups.withColumnRenamed("item", "node"), "node", "left").select("doc_id", "name", F.coalesce("group", "node").alias("group"))
+    best = of.groupBy("group").agg(F.min(F.struct("doc_id", "name")).alias("best"))
+    lost = of.join(best, "group").where(F.struct("doc_id", "name") != F.col("best")).select(F.col("doc_id").alias("_lost"), F.col("name").alias("_set")).distinct()
     lost = materialize(lost, "parity-lost")
     discard(nodes, found, groups)
-    small = lost.count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(lost) if small else lost, docs[id_col].cast("bigint") == lost["_lost"], "left_anti")
-    return _first_of_id(rows, id_col)
-
-
-def _first_of_id(rows: DataFrame, id_col: str) -> DataFrame:
-    """Drop further rows of an id, looking only at ids that repeat."""
-    twice = materialize(rows.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_twice")), "parity-twice")
+    few = F.broadcast if lost.count() <= BROADCAST_ROWS else lambda x: x
+    key = docs[id_col].cast("bigint")
+    twice = materialize(docs.select(key.alias("_twice")).where("_twice is not null").groupBy("_twice").count().where("count > 1").select("_twice"), "parity-twice")
     if twice.isEmpty():
         discard(twice)
-        return rows
-    many = rows.join(twice, rows[id_col] == twice["_twice"], "left_semi").dropDuplicates([id_col])
-    return rows.join(twice, rows[id_col] == twice["_twice"], "left_anti").unionAll(many)
+        return docs.join(few(lost), key == lost["_lost"], "left_anti")
+    # the texts of an id that repeats are judged each, by their sets
+    once = docs.join(twice, key == twice["_twice"], "left_anti")
+    once = once.join(few(lost), once[id_col].cast("bigint") == lost["_lost"], "left_anti")
+    many = _with_sets(docs.join(twice, key == twice["_twice"], "left_semi").dropDuplicates([id_col, text_col]), text_col, n)
+    name, first = many.columns[-2:]
+    at = many[id_col].cast("bigint")
+    many = many.join(few(lost), (at == lost["_lost"]) & (many[name] == lost["_set"]), "left_anti")
+    many = many.withColumn(first, F.row_number().over(Window.partitionBy(F.col(id_col).cast("bigint"), name).orderBy(text_col)))
+    return once.unionAll(many.where((F.col(name) == 0) | (F.col(first) == 1)).drop(name, first))
+
+
+def _with_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    """``docs`` with the name of each text's set (0 without a word) and a column of zeros, both under unused names."""
+    free = "_"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free += "_"
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            names = np.zeros(b.num_rows, np.uint64)
+            for lo, data, offs in text_parts(b.column(at)):
+                names[lo : lo + len(offs) - 1] = nodes_of(*sets(data, offs, n))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names.view(np.int64)), pa.array(np.zeros(b.num_rows, np.int32))], names=[*b.schema.names, f"{free}set", f"{free}first"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(f"{free}set", T.LongType()), T.StructField(f"{free}first", T.IntegerType())])
+    return docs.mapInArrow(run, schema)

@@ -106,6 +106,13 @@ def test_groups_of_part_names_over_batches():
     assert got == [(1, 2), (3, 4), (5, 6)]
 
 
+def test_ids_of_several_texts_keep_one_of_each_group(spark):
+    x, y = "some words of a text", "quite another one instead"
+    rows = [(5, x), (5, y), (3, y), (7, x), (8, "first of eight"), (8, "second, not alike"), (9, None), (9, "nine"), (9, None), (10, "two words"), (10, "two words!"), (11, "NINE")]
+    got = [(r["doc_id"], r["text"]) for r in P.keep_one(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(3, y), (5, x), (8, "first of eight"), (8, "second, not alike"), (9, None), (9, "nine"), (10, "two words")], key=repr)
+
+
 def test_a_large_group_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(P, "BLOCK", 8)
     r = random.Random(2)
