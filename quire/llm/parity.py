@@ -59,7 +59,8 @@ def most_differences(t: float, a, b):
 
 def parts_of_band(band: int, t: float, equal: float = EQUAL) -> int:
     """Least number of parts of which ``equal`` stay untouched on average (16 at least)."""
-    d = most_differences(t, 2 ** (band + 1), 2 ** (band + 1))
+    # the largest sets that meet in the band: one just below its upper end, one by 1 / t larger from the band above
+    d = most_differences(t, 2 ** (band + 1), 2 ** (band + 1) / t)
     b = 16
     while b * math.exp(-d / b) < equal:
         b += 1 + b // 16

@@ -135,6 +135,20 @@ def test_sketch_distance_is_a_lower_bound(a, b):
     assert np.bitwise_count(wide[0] ^ wide[1]).sum() <= len(a ^ b)
 
 
+def test_contained_texts_that_straddle_a_band_edge_share_parts():
+    """A set just below a power of two, held by one of the band above, at the threshold."""
+    r = np.random.default_rng(3)
+    for band in (6, 8, 10):
+        small = 2 ** (band + 1) - 1
+        large, few, n = int(small / P.THRESHOLD), 0, 400
+        for _ in range(n):
+            b = np.unique(r.integers(0, 2**P.HASH_BITS, large, dtype=np.uint64))
+            a = np.sort(r.choice(b, small, replace=False))
+            names, rows = P.part_names(np.concatenate([a, b]), np.array([len(a), len(b)]), P.THRESHOLD)
+            few += len(np.intersect1d(names[rows == 0], names[rows == 1])) < 2
+        assert few <= 0.025 * n
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(k, k + 1) for k in range(1, 60)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(30)] + [(7, 7), (3, 4)]
