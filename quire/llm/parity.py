@@ -6,15 +6,19 @@ difference of the sets, and sets of Jaccard similarity >= ``t`` differ by at mos
 ``(1 - t) / (1 + t) * (|A| + |B|)`` n-grams. The vector is cut into parts; the pigeonhole
 principle leaves parts without a difference, which are equal in both. A part is named
 by the XOR of its n-grams' hashes (a linear fingerprint of its parity bits), and sets are
-joined on equal part names. Sizes fall into bands ``[2^j, 2^(j+1))`` that share a number
-of parts; a set small enough to have a partner in the band below is entered there too.
+joined on equal part names. Sizes fall into bands, each half as large again, that share a number
+of parts; a set small enough to have a partner in a lower band is entered there too.
 
-There are as many parts as leave ``EQUAL`` of them untouched, on average, at the threshold
-itself. Sets of ``TWO_PARTS`` n-grams or more become candidates when two parts agree, smaller
-ones (whose short sketches tell them apart) when one does. A pair at the threshold is
-missed with probability ``(1 + EQUAL) * exp(-EQUAL)``, under 1 %, and any closer pair far more
-rarely.
-Candidates are screened by the distance of short sketches, then verified exactly.
+Strict pigeonhole takes one part more than there may be differences. Fewer are used: as many as leave ``EQUAL`` parts
+equal on average in a pair at the threshold, of whatever sizes the band brings together. One equal part
+makes a candidate, for sets of all sizes alike. The parts that differences fall in are independent, so that
+such a pair has no equal part with probability ``exp(-EQUAL)``, 1 in 22,000, and a closer one far more rarely.
+
+A group of near copies would send each of its pairs once for every part that they share, so
+groups go a shorter way. Every set looks for a *root*: the least set with which it shares most of a fixed
+eighth of the part names, and that one's own. Sets of one root are compared all with all, in blocks, without any pair
+of them being sent; pairs of different roots are sent as candidates, screened by the distance of short
+sketches. Roots only route: each pair of sets with an equal part is verified exactly, by one of the two ways.
 
 Texts with the same set share one node, so that copies cost one row per part name in all.
 """
@@ -22,6 +26,7 @@ Texts with the same set share one node, so that copies cost one row per part nam
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +40,28 @@ from .shared import discard, list_array, materialize, text_parts
 
 N = 2
 THRESHOLD = 0.7
-#: Parts left equal, on average, by a pair at the threshold.
-EQUAL = 7.0
-#: Sets of at least this size must agree in two parts, as a single one may hold one common n-gram.
-TWO_PARTS = 32
+#: Parts left equal, on average, in a pair at the threshold.
+EQUAL = 10.0
+#: Width of a size band.
+RATIO = 1.5
 #: Bits of an n-gram's hash.
 HASH_BITS = 46
 #: Bits of the screening sketch that travels with every part name, beside 16 for the size.
 SKETCH_BITS = 48
 #: Bits of the sketch that screens candidates before they are verified.
 WIDE_BITS = 2048
-#: Nodes of a group that are verified together; larger groups are cut into pairs of blocks.
+#: One part name in so many (a power of two) is used to find roots.
+ROOT_SHARE = 8
+#: Nodes, and n-grams, of a root that are verified together; larger groups are cut into pairs of blocks.
 BLOCK = 2048
-#: Candidate nodes up to which their ids are broadcast to the text scan (8 bytes each).
+BLOCK_GRAMS = 2_000_000
+#: Sets of one root from which on common n-grams are counted by a matrix product.
+DENSE = 24
+#: Nodes of a part name that are compared in one task; names of more are cut into pairs of blocks.
+HOT = 50_000
+#: Names of so many nodes are found from one node in this many.
+HOT_SAMPLE = 64
+#: Rows up to which tables of nodes are broadcast (some 16 bytes each).
 BROADCAST_ROWS = 1_000_000
 _LOW = np.uint64((1 << HASH_BITS) - 1)
 
@@ -57,21 +71,34 @@ def most_differences(t: float, a, b):
     return (1 - t) / (1 + t) * (a + b)
 
 
-def parts_of_band(band: int, t: float, equal: float = EQUAL) -> int:
-    """Least number of parts of which ``equal`` stay untouched on average (16 at least)."""
-    # the largest sets that meet in the band: one just below its upper end, one by 1 / t larger from the band above
-    d = most_differences(t, 2 ** (band + 1), 2 ** (band + 1) / t)
-    b = 16
-    while b * math.exp(-d / b) < equal:
-        b += 1 + b // 16
-    return b
+def untouched(b: int, d: float, t: float, least: int) -> float:
+    """Parts of ``b`` that ``d`` differences leave equal and that hold ``least`` n-grams, on average, in a pair of similarity ``t``."""
+    full = d * t / (1 - t) / b
+    few = math.exp(-full) * sum(full**k / math.factorial(k) for k in range(least))
+    return b * math.exp(-d / b) * (1 - few)
+
+
+@lru_cache(maxsize=None)
+def bands(t: float, equal: float, largest: int) -> list[tuple[int, int, int]]:
+    """``(upper end, parts, least n-grams of a part)`` of the size bands up to ``largest`` n-grams.
+
+    A band has the fewest parts of which ``equal`` are left equal on average by its smallest pair and by its largest, of which
+    one set is just below the band's upper end and the other larger by ``1 / t``. Parts that hold fewer than three n-grams are equal by chance
+    more often than others and are left out, the number of parts making up for it; bands of small sets, where it
+    can't, leave out fewer or none. The smallest sets get four parts an n-gram, so that a common n-gram is a common part.
+    """
+    out, low, high = [], 1, 2
+    while not out or out[-1][0] <= largest:
+        ends = (most_differences(t, high, high / t), most_differences(t, low, low))
+        found = next(((b, m) for m in (3, 2, 1) for b in range(4, 4 * high) if min(untouched(b, d, t, m) for d in ends) >= equal), (4 * high, 1))
+        out.append((high, *found))
+        low, high = high, math.ceil(high * RATIO)
+    return out
 
 
 def sets(data: np.ndarray, offs: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-gram hashes of every row, ascending, and their numbers per row."""
     rows = len(offs) - 1
-    if rows > 1 << (64 - HASH_BITS):
-        raise ValueError("too many rows at once")
     h, row = ngrams(*tokens(data, offs), n)
     k = (row.astype(np.uint64) << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS))
     k.sort()
@@ -84,34 +111,35 @@ def _starts(size: np.ndarray) -> np.ndarray:
     return np.cumsum(size) - size
 
 
-def nodes_of(g: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each non-empty row's set (0 for empty ones)."""
-    out = np.zeros(len(size), np.uint64)
+def nodes_of(g: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit name of each non-empty row's set, in two halves (0 for empty ones)."""
+    out = np.zeros((2, len(size)), np.uint64)
     has = size > 0
     if has.any():
-        out[has] = mix(np.add.reduceat(mix(g + np.uint64(0x5851F42D4C957F2D)), _starts(size)[has]) ^ mix(size[has].astype(np.uint64)))
-    return out
+        at, n = _starts(size)[has], mix(size[has].astype(np.uint64))
+        for half, seed in zip(out, (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)):
+            half[has] = mix(np.add.reduceat(mix(g + np.uint64(seed)), at) ^ n)
+    return out[0], out[1]
 
 
 def part_names(g: np.ndarray, size: np.ndarray, t: float, equal: float = EQUAL) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all non-empty parts of every row in the bands it belongs to, and their rows."""
+    """Names of the parts of every row in the bands it belongs to, and their rows."""
     names, rows = [], []
     row = np.repeat(np.arange(len(size)), size)
-    band = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
+    table = bands(t, equal, 1 << int(size.max(initial=1)).bit_length())
+    own = np.searchsorted([x[0] for x in table], size, "right")
     spread = mix(g + np.uint64(0x14057B7EF767814F))
-    for down in (0, 1):
-        mine = (size > 0) if not down else (band > 0) & (size * t < 2.0**band)
-        at = band - down
-        for j in np.unique(at[mine]):
-            use = np.flatnonzero((mine & (at == j))[row])
-            b = parts_of_band(int(j), t, equal)
-            part = (g[use] >> np.uint64(HASH_BITS - 24)) * np.uint64(b) >> np.uint64(24)
-            r = row[use]
-            edge = np.concatenate([[True], (part[1:] != part[:-1]) | (r[1:] != r[:-1])])
-            at0 = np.flatnonzero(edge)
-            x = np.bitwise_xor.reduceat(spread[use], at0)
-            names.append(mix(x ^ mix(part[at0] * np.uint64(64) + np.uint64(j + 1))))
-            rows.append(r[at0])
+    for j, (high, b, least) in enumerate(table):
+        use = np.flatnonzero(((own == j) | ((own > j) & (size * t < high)))[row])
+        if not len(use):
+            continue
+        part = (g[use] >> np.uint64(HASH_BITS - 24)) * np.uint64(b) >> np.uint64(24)
+        r = row[use]
+        at = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (r[1:] != r[:-1])]))
+        x = np.bitwise_xor.reduceat(spread[use], at)
+        at = at[keep := np.diff(np.append(at, len(use))) >= least]
+        names.append(mix(x[keep] ^ mix(part[at] * np.uint64(256) + np.uint64(j + 1))))
+        rows.append(r[at])
     if not names:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(names), np.concatenate(rows)
@@ -137,7 +165,7 @@ def _possible(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
 
 
 def _index(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, equal: float) -> DataFrame:
-    """``doc_id, node, meta, names`` of every text with an n-gram."""
+    """``doc_id, name, more, size, meta, names`` of every text with an n-gram."""
 
     def run(batches):
         for b in batches:
@@ -147,80 +175,145 @@ def _index(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, equal:
                 name, row = part_names(g, size, t, equal)
                 order = np.argsort(row, kind="stable")
                 count = np.bincount(row, minlength=len(size))[keep]
+                halves = [pa.array(x[keep].view(np.int64)) for x in nodes_of(g, size)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, len(size)).take(pa.array(keep)), pa.array(nodes_of(g, size)[keep].view(np.int64)), pa.array(short_sketch(g, size)[keep].view(np.int64)), list_array(name[order].view(np.int64), count)],
-                    names=["doc_id", "node", "meta", "names"],
+                    [b.column(0).slice(lo, len(size)).take(pa.array(keep)), *halves, pa.array(size[keep]), pa.array(short_sketch(g, size)[keep].view(np.int64)), list_array(name[order].view(np.int64), count)],
+                    names=["doc_id", "name", "more", "size", "meta", "names"],
                 )
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull()).mapInArrow(run, "doc_id bigint, node bigint, meta bigint, names array<bigint>")
+    d = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull())
+    return d.mapInArrow(run, "doc_id bigint, name bigint, more bigint, size bigint, meta bigint, names array<bigint>")
+
+
+def _groups(batches, columns: int):
+    """The columns of rows sorted by the first, in runs that end where a group of it does."""
+    kept: list[tuple] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(columns))
+        key = cols[0]
+        last = int(np.searchsorted(key, key[-1], "left"))
+        if last == 0 and kept and kept[-1][0][-1] == key[0]:
+            kept.append(cols)
+            continue
+        if last:
+            kept.append(tuple(c[:last] for c in cols))
+        if kept:
+            yield tuple(np.concatenate(c) for c in zip(*kept))
+        kept = [tuple(c[last:] for c in cols)]
+    if kept:
+        yield tuple(np.concatenate(c) for c in zip(*kept))
+
+
+def _stars(batches):
+    """``node, lead, k`` from rows ``part, node, k`` sorted by part and node: each group's least node for the others."""
+    part, lead = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, node, k = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        least = node[edge]
+        if part is not None and part == key[0]:
+            least[0] = lead
+        part, lead = key[-1], least[-1]
+        least = np.repeat(least, np.diff(np.append(edge, len(key))))
+        more = node != least
+        yield pa.RecordBatch.from_arrays([pa.array(node[more]), pa.array(least[more]), pa.array(k[more])], names=["node", "lead", "k"])
+
+
+def _roots(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``node, root`` of the nodes that share a root with others, written to the shared folder."""
+    own = F.filter("names", lambda x: x.bitwiseAND(F.lit(ROOT_SHARE - 1)) == 0)
+    some = rows.select("node", own.alias("own")).select("node", F.size("own").alias("k"), F.explode("own").alias("part"))
+    cold = some if hot is None else some.join(F.broadcast(hot.select("part")), "part", "left_anti")
+    stars = cold.select("part", "node", "k").repartition("part").sortWithinPartitions("part", "node").mapInArrow(_stars, "node bigint, lead bigint, k int")
+    if hot is not None:  # any node of a hot name will do, so that its nodes needn't meet
+        stars = stars.unionAll(some.join(F.broadcast(hot), "part").where("node > lead").select("node", "lead", "k"))
+    best = stars.groupBy("node", "lead").agg(F.count("*").alias("c"), F.max("k").alias("k")).where("c >= 2 and 4 * c >= k")
+    parents = materialize(best.groupBy("node").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("lead")), "parity-parents")
+    up = parents.join(parents.select(F.col("node").alias("lead"), F.col("lead").alias("above")), "lead", "left").select("node", F.coalesce("above", "lead").alias("root"))
+    # a root without a root of its own is its own root
+    alone = up.select(F.col("root").alias("node")).distinct().join(up.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
+    out = materialize(up.unionAll(alone), "parity-roots")
+    discard(parents)
+    return out
 
 
-def _pairs_of_groups(t: float):
-    """Candidate pairs from rows sorted by name, then node: a streaming pass.
+def _hot_names(rows: DataFrame) -> DataFrame | None:
+    """``part, lead, cuts`` of the names of very many nodes, from a fixed sample of nodes; None if there are none.
 
-    A group of any size is compared row against block, so that memory follows the group's
-    rows, not its pairs; a pair goes out only if the short sketches allow it.
+    Routing only: a name that the sample misses is compared in one task, with the same result.
     """
+    least = max(1, HOT // (2 * HOT_SAMPLE))
+    some = rows.where(F.pmod(F.xxhash64("node"), F.lit(HOT_SAMPLE)) == 0).select("node", F.explode("names").alias("part"))
+    hot = some.groupBy("part").agg(F.count("*").alias("c"), F.min("node").alias("lead")).where(F.col("c") >= least)
+    hot = materialize(hot.select("part", "lead", F.ceil(F.col("c") * HOT_SAMPLE / F.lit(HOT)).alias("cuts")), "parity-hot")
+    if hot.isEmpty():
+        discard(hot)
+        return None
+    return hot
 
-    small = np.uint64(TWO_PARTS << SKETCH_BITS)
 
-    def emit(node, meta):
-        for i in range(1, len(node)):
-            for lo in range(0, i, 1 << 16):
-                hi = min(i, lo + (1 << 16))
-                ok = np.flatnonzero(_possible(meta[lo:hi], meta[i], t)) + lo
-                if len(ok):
-                    yield node[ok], np.full(len(ok), node[i]), np.where(np.minimum(meta[ok], meta[i]) < small, 2, 1)
+def _cells(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``cell, side, node, meta, root``: the rows to compare by part name; hot names are cut into pairs of blocks of nodes.
 
-    def pairs(key, node, meta):
-        """Pairs of whole groups; groups of two in one step, larger ones each."""
+    ``side`` is 0 in a block by itself; of a pair of blocks, 1 and 2 are compared with each other only.
+    """
+    each = rows.select(F.explode("names").alias("part"), "node", "meta", "root")
+    cold = (each if hot is None else each.join(F.broadcast(hot.select("part")), "part", "left_anti")).select(F.col("part").alias("cell"), F.lit(0).cast("tinyint").alias("side"), "node", "meta", "root")
+    if hot is None:
+        return cold
+    cut = each.join(F.broadcast(hot.select("part", "cuts")), "part").withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("cuts")))
+    cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)))
+    side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).cast("tinyint")
+    return cold.unionAll(cut.select(F.xxhash64("part", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), side.alias("side"), "node", "meta", "root"))
+
+
+def _candidates(t: float):
+    """Candidate pairs ``a, b`` of different roots from rows ``cell, side, node, meta, root`` sorted by cell and root."""
+
+    def cross(side, node, meta, root):
+        edge = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
+        for lo, hi in zip(edge[1:], np.append(edge[2:], len(root))):
+            # each row of the smaller side with all rows of the other
+            one, others = (range(lo, hi), slice(0, lo)) if hi - lo <= lo else (range(lo), slice(lo, hi))
+            for i in one:
+                ok = _possible(meta[others], meta[i], t) & ((side[others] == 0) | (side[others] != side[i]))
+                if ok.any():
+                    y = node[others][ok]
+                    yield np.minimum(y, node[i]), np.maximum(y, node[i])
+
+    def pairs(key, side, node, meta, root):
+        meta = meta.view(np.uint64)
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(edge, len(key)))
-        two = edge[size == 2]
+        # sorted by root: a group is of one root if its ends are
+        mixed = root[edge] != root[edge + size - 1]
+        two = edge[mixed & (size == 2)]
         if len(two):
-            ok = two[_possible(meta[two], meta[two + 1], t)]
-            yield node[ok], node[ok + 1], np.where(np.minimum(meta[ok], meta[ok + 1]) < small, 2, 1)
-        for e, s in zip(edge[size > 2], size[size > 2]):
-            yield from emit(node[e : e + s], meta[e : e + s])
+            ok = two[_possible(meta[two], meta[two + 1], t) & ((side[two] == 0) | (side[two] != side[two + 1]))]
+            yield np.minimum(node[ok], node[ok + 1]), np.maximum(node[ok], node[ok + 1])
+        for e, n in zip(edge[mixed & (size > 2)], size[mixed & (size > 2)]):
+            s = slice(e, e + n)
+            yield from cross(side[s], node[s], meta[s], root[s])
 
     def batch(parts):
-        a, b, w = (np.concatenate(c) for c in zip(*parts))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(w.astype(np.int32))], names=["a", "b", "w"])
+        ab = np.unique(np.stack([np.concatenate(c) for c in zip(*parts)], 1), axis=0) if len(parts) else np.empty((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
     def run(batches):
-        kept: list[tuple] = []
-
-        def out(parts):
-            kept, n = [], 0
-            for x in parts:
+        kept, n = [], 0
+        for rows in _groups(batches, 5):
+            for x in pairs(*rows):
                 kept.append(x)
                 n += len(x[0])
-                if n >= 1 << 16:
+                if n >= 1 << 18:
                     yield batch(kept)
                     kept, n = [], 0
-            if n:
-                yield batch(kept)
-
-        def whole(rows):
-            key, node, meta = (np.concatenate(c) for c in zip(*rows))
-            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-            return key[fresh], node[fresh], meta[fresh].view(np.uint64)
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, node, meta = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            last = int(np.searchsorted(key, key[-1], "left"))
-            if last == 0 and kept and kept[-1][0][-1] == key[0]:
-                kept.append((key, node, meta))
-                continue
-            if last:
-                kept.append((key[:last], node[:last], meta[:last]))
-            if kept:
-                yield from out(pairs(*whole(kept)))
-            kept = [(key[last:], node[last:], meta[last:])]
-        if kept:
-            yield from out(pairs(*whole(kept)))
+        if n:
+            yield batch(kept)
 
     return run
 
@@ -262,87 +355,200 @@ def verify_pairs(g: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray,
     return keep & (common >= t * union - 1e-9 * union), common
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, t: float) -> DataFrame:
-    """``a, b, n_a, n_b, common`` of the candidate pairs of nodes that reach ``t``.
-
-    A node's leader is the least node it is paired with. The pairs of one pair of leaders
-    are verified together (blocks of ``BLOCK`` nodes by hash where a leader has more), so that
-    the sets of a group of copies are sent once or a few times, not once per pair.
+def common_dense(g: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Numbers of common n-grams of all pairs of rows, by products of incidence matrices."""
+    n = len(size)
+    row = np.repeat(np.arange(n), size)
+    order = np.argsort(g, kind="stable")
+    edge = np.concatenate([[True], g[order][1:] != g[order][:-1]]) if len(g) else np.empty(0, bool)
+    column = np.cumsum(edge) - 1
+    times = np.bincount(column)
+    # what is in one row only is common to none
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    use = shared[column]
+    row, column, width = row[order][use], number[column[use]], int(shared.sum())
+    out = np.zeros((n, n), np.float32)
+    step = max(256, (1 << 23) // max(n, 1))
+    for lo in range(0, width, step):
+        s = slice(*np.searchsorted(column, (lo, lo + step)))
+        x = np.zeros((n, min(step, width - lo)), np.float32)
+        x[row[s], column[s] - lo] = 1
+        out += x @ x.T
+    return out.astype(np.int64)
+
+
+def _spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least label of each component of the pairs ``a, b`` of places."""
+    while True:
+        least = np.minimum(label[a], label[b])
+        if (least == label[a]).all() and (least == label[b]).all():
+            return label
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+
+
+def _similar_in(root: np.ndarray, side: np.ndarray, g: np.ndarray, size: np.ndarray, t: float):
+    """Places ``a, b`` and common n-grams of the similar pairs within each root; rows sorted by root, sides as in :func:`_cells`."""
+    begin = _starts(size)
+    edge = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]])) if len(root) else np.empty(0, np.int64)
+    small = []
+    for e, n in zip(edge, np.diff(np.append(edge, len(root)))):
+        if n < 2:
+            continue
+        if n < DENSE:
+            i, j = np.triu_indices(n, 1)
+            ok = (side[e + i] == 0) | (side[e + i] != side[e + j])
+            small.append((e + i[ok], e + j[ok]))
+            continue
+        s = slice(e, e + n)
+        common = common_dense(g[begin[e] : begin[e + n - 1] + size[e + n - 1]], size[s])
+        union = size[s][:, None] + size[s][None, :] - common
+        ok = np.triu(common >= t * union - 1e-9 * union, 1) & ((side[s][:, None] == 0) | (side[s][:, None] != side[s][None, :]))
+        i, j = np.nonzero(ok)
+        yield e + i, e + j, common[i, j]
+    if small:
+        a, b = (np.concatenate(c) for c in zip(*small))
+        ok, common = verify_pairs(g, size, a, b, t)
+        yield a[ok], b[ok], common[ok]
+
+
+PAIRS = "a bigint, b bigint, n_a bigint, n_b bigint, common bigint"
+LINKS = "node bigint, least bigint, links bigint"
+
+
+def _verify(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, t: float, listed: bool) -> DataFrame:
+    """The similar pairs of nodes among the candidate ``pairs`` and among the nodes of each root, written to the shared folder.
+
+    As ``PAIRS`` if ``listed``, else as ``LINKS``: per node and task the number of similar texts found, copies counted each, and the least
+    node that the task's pairs connect it to. The nodes of a root go to a cell (pairs of blocks of them where they are many). For candidate
+    pairs a node's leader is the least node it is paired with, and the pairs of one pair of leaders are
+    verified together (blocks by hash where a leader has more). So the sets of a
+    group are sent once or a few times, not once per pair.
     """
     both = pairs.select(F.col("a").alias("node"), F.least("a", "b").alias("o")).unionAll(pairs.select(F.col("b").alias("node"), F.least("a", "b").alias("o")))
-    leaders = materialize(both.groupBy("node").agg(F.min("o").alias("leader")), "parity-leaders")
+    leaders = both.groupBy("node").agg(F.min("o").alias("leader"))
+    leaders = materialize(leaders.join(nodes.select("node", "size"), "node"), "parity-leaders")
     n_nodes = leaders.count()
     buckets, few = max(1, n_nodes * 4 // BLOCK), n_nodes <= BROADCAST_ROWS
-    blocks = leaders.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("cuts"))
+    cuts = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_GRAMS)))
+    blocks = leaders.groupBy("leader").agg(cuts.alias("cuts"))
     # leaders of few nodes share a bucket, as a group of its own for each would cost a call each
     cell = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("leader"), F.lit(buckets))).otherwise(F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("cuts"))))
     place = materialize(leaders.join(blocks, "leader").select("node", cell.alias("cell")), "parity-place")
     where = F.broadcast(place) if few else place
     at = pairs.join(where.select(F.col("node").alias("a"), F.col("cell").alias("ca")), "a").join(where.select(F.col("node").alias("b"), F.col("cell").alias("cb")), "b")
     at = materialize(at.select(F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")).alias("cell"), "a", "b"), "parity-at")
+    # the cells of roots; small ones share a bucket here too
+    sized = roots.join(nodes.select("node", "size"), "node")
+    n_rooted = sized.count()
+    of = sized.groupBy("root").agg(cuts.alias("cuts"))
+    r = sized.join(of, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("cuts")))
+    r = r.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)))
+    bucket = F.when(F.col("cuts") == 1, F.xxhash64(F.lit("roots"), F.pmod(F.xxhash64("root"), F.lit(max(1, n_rooted * 4 // BLOCK))))).otherwise(F.xxhash64(F.lit("root"), "root", F.least("i", "j"), F.greatest("i", "j")))
+    side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).cast("int")
+    none = F.lit(None)
+    need = at.select(F.col("cell").alias("to"), F.col("a").alias("node")).unionAll(at.select(F.col("cell").alias("to"), F.col("b").alias("node"))).distinct()
+    need = need.select("to", "node", none.cast("bigint").alias("root"), none.cast("int").alias("side")).unionAll(r.select(bucket.alias("to"), "node", "root", side.alias("side")))
     # one text per node, tokenised again: cheaper than keeping every set
-    first = nodes.join(place.select("node"), "node", "left_semi").select("node", "name", "i")
+    first = nodes.join(place.select("node").unionAll(roots.select("node")).distinct(), "node", "left_semi").select("node", "name", "more", "i", "members")
     texts = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
-    texts = texts.join(F.broadcast(first) if few else first, "i").select("node", "t", "name")
+    texts = texts.join(F.broadcast(first) if n_nodes + n_rooted <= BROADCAST_ROWS else first, "i").select("node", "t", "name", "more", "members")
 
     def tokenise(batches):
         for b in batches:
             for lo, data, offs in text_parts(b.column(1)):
                 g, size = sets(data, offs, n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(size)), b.column(2).slice(lo, len(size)), pa.array(nodes_of(g, size).view(np.int64)), list_array(g.view(np.int64), size)], names=["node", "name", "is", "grams"])
+                # of repeated ids with different texts only the text that makes up the node counts
+                name, more = (x.view(np.int64) for x in nodes_of(g, size))
+                own = (name == b.column(2).slice(lo, len(size)).to_numpy()) & (more == b.column(3).slice(lo, len(size)).to_numpy())
+                rows = pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(size)), b.column(4).slice(lo, len(size)), list_array(g.view(np.int64), size)], names=["node", "members", "grams"])
+                yield rows if own.all() else rows.filter(pa.array(own))
 
-    # of repeated ids with different texts only the text that makes up the node counts
-    found = texts.mapInArrow(tokenise, "node bigint, name bigint, is bigint, grams array<bigint>").where("name = is").select("node", "grams")
-    need = at.select(F.col("cell").alias("to"), F.col("a").alias("node")).unionAll(at.select(F.col("cell").alias("to"), F.col("b").alias("node"))).distinct()
-    sent = need.join(found, "node").select("to", "node", "grams")
+    found = texts.mapInArrow(tokenise, "node bigint, members bigint, grams array<bigint>")
+    sent = need.join(found, "node").select("to", "node", "root", "side", "members", "grams")
+    kinds = {name: pa.int64() for name in (x.split()[0] for x in (PAIRS if listed else LINKS).split(", "))}
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "n_a", "n_b", "common")})
-        node = right.column("node").to_numpy()
-        node, which = np.unique(node, return_index=True)
+        empty = pa.table({c: pa.array([], k) for c, k in kinds.items()})
+        if not right.num_rows:
+            return empty
+        node, members = right.column("node").to_numpy(), right.column("members").to_numpy()
+        root, side = (right.column(c).fill_null(0).to_numpy() for c in ("root", "side"))
+        rooted = np.asarray(right.column("root").is_valid())
+        order = np.lexsort((node, root, rooted))
+        node, members, root, side, rooted = (x[order] for x in (node, members, root, side, rooted))
+        # a repeated row, of an id that repeats, counts once
+        fresh = np.concatenate([[True], (node[1:] != node[:-1]) | (root[1:] != root[:-1]) | (rooted[1:] != rooted[:-1])])
+        node, members, root, side, rooted = (x[fresh] for x in (node, members, root, side, rooted))
         grams = right.column("grams").combine_chunks()
         if isinstance(grams, pa.ChunkedArray):
-            grams = grams.chunk(0) if grams.num_chunks else pa.array([], pa.list_(pa.int64()))
-        grams = grams.take(pa.array(which))
+            grams = grams.chunk(0)
+        grams = grams.take(pa.array(order[fresh]))
         size = np.diff(grams.offsets.to_numpy()).astype(np.int64)
         g = grams.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
-        ia, ib = np.searchsorted(node, a), np.searchsorted(node, b)
-        ok, common = verify_pairs(g, size, ia, ib, t)
-        return pa.table({"a": a[ok], "b": b[ok], "n_a": size[ia[ok]], "n_b": size[ib[ok]], "common": common[ok]})
-
-    out = at.groupBy("cell").cogroup(sent.groupBy("to")).applyInArrow(check, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint")
-    out = materialize(out, "parity-pairs")
+        # first the rows that candidate pairs ask for, then those of roots
+        cut = int(np.searchsorted(rooted, True))
+        got = []
+        if left.num_rows:
+            a, b = (np.searchsorted(node[:cut], left.column(c).to_numpy()) for c in "ab")
+            ok, common = verify_pairs(g[: size[:cut].sum()], size[:cut], a, b, t)
+            got.append((a[ok], b[ok], common[ok]))
+        if cut < len(node):
+            got += [(a + cut, b + cut, common) for a, b, common in _similar_in(root[cut:], side[cut:], g[size[:cut].sum() :], size[cut:], t)]
+        if not got:
+            return empty
+        a, b, common = (np.concatenate(c) for c in zip(*got))
+        if listed:
+            return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "n_a": size[np.where(node[a] < node[b], a, b)], "n_b": size[np.where(node[a] < node[b], b, a)], "common": common})
+        links = np.bincount(a, members[b], len(node)) + np.bincount(b, members[a], len(node))
+        least = _spread(np.arange(len(node)), a, b)
+        k = np.flatnonzero(links)
+        return pa.table({"node": node[k], "least": node[least[k]], "links": links[k].astype(np.int64)})
+
+    out = at.groupBy("cell").cogroup(sent.groupBy("to")).applyInArrow(check, PAIRS if listed else LINKS)
+    out = materialize(out, "parity-found")
     discard(leaders, place, at)
     return out
 
 
-def similar_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, t: float = THRESHOLD, equal: float = EQUAL) -> tuple[DataFrame, DataFrame, bool]:
-    """``(doc_id, node, name)`` of every text with an n-gram, the verified pairs of nodes, and whether ids repeat.
+def similar_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, t: float = THRESHOLD, equal: float = EQUAL, listed: bool = False) -> tuple[DataFrame, DataFrame, bool]:
+    """``(doc_id, node, name, more, members)`` of every text with an n-gram, what :func:`_verify` finds of the nodes, and whether ids repeat.
 
     A node goes by the least id that has its set (ids are short, which halves what is
-    shuffled), or by the hash of the set if all its ids have several sets. Both tables are
+    shuffled), or by the hash of the set if all its ids have several sets; ``members`` are the ids that have it. Both tables are
     written to the shared folder; pass them to :func:`.shared.discard` when done.
     """
     index = materialize(_index(docs, id_col, text_col, n, t, equal), "parity-index")
-    ids = index.select("doc_id", F.col("node").alias("name")).distinct()
+    ids = index.select("doc_id", "name", "more", "size").distinct()
     several = materialize(ids.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("several")), "parity-several")
     repeated = not several.isEmpty()
     own = ids.join(several, "doc_id", "left").withColumn("own", F.when(F.col("several").isNull(), F.col("doc_id"))) if repeated else ids.withColumn("own", F.col("doc_id"))
-    names = materialize(own.groupBy("name").agg(F.coalesce(F.min("own"), F.col("name")).alias("node"), F.min("doc_id").alias("i")), "parity-names")
+    names = own.groupBy("name", "more").agg(F.coalesce(F.min("own"), F.col("name")).alias("node"), F.min("doc_id").alias("i"), F.first("size").alias("size"), F.count("*").alias("members"))
+    names = materialize(names, "parity-names")
+    nodes = materialize(ids.select("doc_id", "name", "more").join(names.select("name", "more", "node", "members"), ["name", "more"]).select("doc_id", "node", "name", "more", "members"), "parity-nodes")
     if repeated:
-        rows = index.withColumnRenamed("node", "name").withColumnRenamed("doc_id", "i").join(names, ["name", "i"])
+        rows = index.withColumnRenamed("doc_id", "i").drop("size").join(names, ["name", "more", "i"])
+        rows = rows.groupBy("node").agg(F.first("meta").alias("meta"), F.first("names").alias("names"))
+        rows = materialize(rows, "parity-rows")
+        discard(index)
     else:
         # copies are few beside the index, whose long rows then needn't be shuffled
-        copies = materialize(ids.join(names, "name").where("doc_id <> i").select("doc_id"), "parity-copies")
-        rows = index.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti").withColumn("node", F.col("doc_id"))
-    rows = rows.select(F.explode("names").alias("part"), "node", "meta").repartition("part").sortWithinPartitions("part", "node")
-    agree = rows.mapInArrow(_pairs_of_groups(t), "a bigint, b bigint, w int").groupBy("a", "b").agg(F.sum("w").alias("w"))
-    pairs = materialize(agree.where("w >= 2").select("a", "b"), "parity-candidates")
-    found = _verify(pairs, names, docs, id_col, text_col, n, t)
-    nodes = materialize(ids.join(names.select("name", "node"), "name").select("doc_id", "node", "name"), "parity-nodes")
-    discard(index, pairs, names, several, None if repeated else copies)
+        copies = materialize(nodes.where("doc_id <> node").select("doc_id"), "parity-copies")
+        rows = index.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "node").select("node", "meta", "names")
+    hot = _hot_names(rows)
+    roots = _roots(rows, hot)
+    known = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+    rooted = rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    cells = _cells(rooted, hot).repartition("cell").sortWithinPartitions("cell", "root")
+    pairs = materialize(cells.mapInArrow(_candidates(t), "a bigint, b bigint").distinct(), "parity-candidates")
+    if repeated:
+        discard(rows)
+    else:
+        discard(index, copies)
+    found = _verify(pairs, roots, names, docs, id_col, text_col, n, t, listed)
+    discard(pairs, names, several, roots, hot)
     return nodes, found, repeated
 
 
@@ -351,9 +557,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A text of fewer than ``n`` words is one n-gram. Null and wordless texts and rows without id
     are similar to nothing. Rows of one id count as one text each; a pair of ids
-    is listed once, with its largest similarity. An empty table gives no pair.
+    is listed once, with its largest similarity. An empty table gives no pair. The result has every pair of a group of copies;
+    :func:`links` has one row per document instead.
     """
-    nodes, found, repeated = similar_nodes(docs, id_col, text_col, n, t, equal)
+    nodes, found, repeated = similar_nodes(docs, id_col, text_col, n, t, equal, listed=True)
     members = nodes.groupBy("node").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
     # most nodes are one text that goes by its own id; only the others are looked up
     several = materialize(members.where((F.size("ids") > 1) | (F.col("ids")[0] != F.col("node"))), "parity-members")
@@ -367,6 +574,43 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")) if repeated else out
 
 
+def _grouped(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``nodes`` with the component ``at`` of each and its ``class_id``, the least id of what links connect.
+
+    Two components can have the same least id, if it has several texts.
+    """
+    groups = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    out = nodes.join(groups.withColumnRenamed("item", "node"), "node", "left").withColumn("at", F.coalesce("group", "node"))
+    # a node that goes by a hash isn't its group's least id
+    least = out.groupBy("at").agg(F.min("doc_id").alias("class_id"))
+    done = materialize(out.join(least, "at").select("doc_id", "node", "name", "more", "members", "at", "class_id"), "parity-groups")
+    discard(groups)
+    return done
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, t: float = THRESHOLD, equal: float = EQUAL) -> DataFrame:
+    """``doc_id, class_id, copies, links``: what the join finds, one row per document.
+
+    ``links`` is the number of other documents of similarity ``t`` at least, of which ``copies`` have the same set of n-grams;
+    ``class_id`` is the least id of all that links connect, the document's own where it has none. All similar pairs are
+    counted, none is listed. Null and wordless texts have no links. Rows without id are left out; of rows that repeat an id and a set of n-grams one is kept,
+    and an id that has several sets has a row for each, the texts of one id being different documents. An empty table gives no rows.
+    """
+    nodes, found, repeated = similar_nodes(docs, id_col, text_col, n, t, equal)
+    sums = materialize(found.groupBy("node").agg(F.sum("links").alias("near")), "parity-links")
+    groups = _grouped(nodes, found)
+    copies = F.col("members") - 1
+    out = groups.join(sums, "node", "left").select("doc_id", "class_id", copies.alias("copies"), (copies + F.coalesce("near", F.lit(0))).alias("links"))
+    # what has no n-gram has no node
+    all_ = docs.select(F.col(id_col).cast("bigint").alias("doc_id")).where("doc_id is not null")
+    rest = all_.join(nodes.select("doc_id"), "doc_id", "left_anti").distinct()
+    zero = F.lit(0).cast("bigint")
+    out = out.unionAll(rest.select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("copies"), zero.alias("links")))
+    done = materialize(out, "parity-documents")
+    discard(nodes, found, sums, groups)
+    return done
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, t: float = THRESHOLD, equal: float = EQUAL) -> DataFrame:
     """The rows of ``docs``, of each group of similar texts only the one of least id.
 
@@ -375,12 +619,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     that repeat both id and text one stays, as of texts of one id that have the same set (the least).
     """
     nodes, found, _ = similar_nodes(docs, id_col, text_col, n, t, equal)
-    groups = components(found.select("a", "b"))
-    of = nodes.join(groups.withColumnRenamed("item", "node"), "node", "left").select("doc_id", "name", F.coalesce("group", "node").alias("group"))
-    best = of.groupBy("group").agg(F.min(F.struct("doc_id", "name")).alias("best"))
-    lost = of.join(best, "group").where(F.struct("doc_id", "name") != F.col("best")).select(F.col("doc_id").alias("_lost"), F.col("name").alias("_set")).distinct()
+    of = _grouped(nodes, found)
+    best = of.groupBy("at").agg(F.min(F.struct("doc_id", "name", "more")).alias("best"))
+    lost = of.join(best, "at").where(F.struct("doc_id", "name", "more") != F.col("best")).select(F.col("doc_id").alias("_lost"), F.col("name").alias("_set")).distinct()
     lost = materialize(lost, "parity-lost")
-    discard(nodes, found, groups)
+    discard(nodes, found, of)
     few = F.broadcast if lost.count() <= BROADCAST_ROWS else lambda x: x
     key = docs[id_col].cast("bigint")
     twice = materialize(docs.select(key.alias("_twice")).where("_twice is not null").groupBy("_twice").count().where("count > 1").select("_twice"), "parity-twice")
@@ -409,7 +652,7 @@ def _with_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
         for b in batches:
             names = np.zeros(b.num_rows, np.uint64)
             for lo, data, offs in text_parts(b.column(at)):
-                names[lo : lo + len(offs) - 1] = nodes_of(*sets(data, offs, n))
+                names[lo : lo + len(offs) - 1] = nodes_of(*sets(data, offs, n))[0]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names.view(np.int64)), pa.array(np.zeros(b.num_rows, np.int32))], names=[*b.schema.names, f"{free}set", f"{free}first"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(f"{free}set", T.LongType()), T.StructField(f"{free}first", T.IntegerType())])

@@ -58,8 +58,8 @@ def discard(*tables: DataFrame | None) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def text_parts(arr: pa.Array, most: int = 2 << 20):
-    """Split a string array into runs of rows holding about ``most`` bytes each.
+def text_parts(arr: pa.Array, most: int = 2 << 20, rows: int = 1 << 16):
+    """Split a string array into runs of at most ``rows`` rows holding about ``most`` bytes each.
 
     Yields ``(first row, bytes as uint8, offsets)`` with offsets rebased to the run.
     Nulls count as empty texts. A single longer text forms a run of its own.
@@ -79,7 +79,7 @@ def text_parts(arr: pa.Array, most: int = 2 << 20):
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(offs, offs[lo] + most, "right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + rows, n)
         yield lo, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 

@@ -98,14 +98,110 @@ def test_a_table_of_one_part_name(spark):
         assert [r["doc_id"] for r in P.keep_one(df).collect()] == [1]
 
 
+def batch(rows, names):
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], names=names)
+
+
 def test_groups_of_part_names_over_batches():
     """A batch of one name, first or later, and one that goes on with the name before it."""
-    batch = lambda *rows: pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*((k, n, 1 << P.SKETCH_BITS) for k, n in rows))], names=["part", "node", "meta"])
-    batches = [batch((1, 1)), batch((1, 2)), batch((2, 3)), batch((2, 4), (3, 5)), batch((3, 6))]
-    got = [tuple(r.values()) for b in P._pairs_of_groups(0.7)(iter(batches)) for r in b.select(["a", "b"]).to_pylist()]
+    rows = lambda *r: batch([(k, 0, n, 1 << P.SKETCH_BITS, n) for k, n in r], ["cell", "side", "node", "meta", "root"])
+    batches = [rows((1, 1)), rows((1, 2)), rows((2, 3)), rows((2, 4), (3, 5)), rows((3, 6))]
+    got = [tuple(r.values()) for b in P._candidates(0.7)(iter(batches)) for r in b.to_pylist()]
     assert got == [(1, 2), (3, 4), (5, 6)]
 
 
+def test_candidates_are_of_different_roots_and_sides():
+    meta = 1 << P.SKETCH_BITS
+    rows = [(1, 0, 5, meta, 5), (1, 0, 6, meta, 5), (1, 0, 7, meta, 7), (2, 1, 1, meta, 1), (2, 1, 2, meta, 2), (2, 2, 3, meta, 3), (3, 0, 8, meta, 8), (3, 0, 9, meta, 8)]
+    got = {tuple(r.values()) for b in P._candidates(0.7)(iter([batch(rows, ["cell", "side", "node", "meta", "root"])])) for r in b.to_pylist()}
+    assert got == {(5, 7), (6, 7), (1, 3), (2, 3)}
+
+
+def test_stars_over_batches():
+    rows = [batch(r, ["part", "node", "k"]) for r in ([(1, 4, 9)], [(1, 6, 9), (2, 1, 9)], [(2, 8, 9), (3, 3, 9)])]
+    assert [tuple(r.values()) for b in P._stars(iter(rows)) for r in b.to_pylist()] == [(6, 4, 9), (8, 1, 9)]
+
+
+def test_common_ngrams_by_matrix_product():
+    r = np.random.default_rng(5)
+    sets_ = [np.unique(r.integers(0, 300, r.integers(1, 200))).astype(np.uint64) for _ in range(40)]
+    got = P.common_dense(np.concatenate(sets_), np.array([len(x) for x in sets_]))
+    assert (got == [[len(np.intersect1d(a, b)) for b in sets_] for a in sets_]).sum() >= 40 * 39
+    assert all(got[i, j] == len(np.intersect1d(sets_[i], sets_[j])) for i in range(40) for j in range(i))
+
+
+def expected_links(rows):
+    """Per id the least id of its component and the numbers of copies and links; ids are distinct."""
+    ids = [i for i, _ in rows]
+    s = dict(zip(ids, sets_of([x for _, x in rows])))
+    up, n, same = {i: i for i in ids}, dict.fromkeys(ids, 0), dict.fromkeys(ids, 0)
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in brute(rows):
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+        for i in (a, b):
+            n[i] += 1
+            same[i] += s[a] == s[b]
+    return sorted((i, root(i), same[i], n[i]) for i in ids)
+
+
+def test_links_against_brute_force(spark, monkeypatch):
+    """One row per document; also with blocks of a few nodes and every name cut into blocks of two."""
+    rows = corpus(21) + [(9000, None), (9001, ""), (9002, "..."), (9003, "word"), (9004, "Word")]
+    want = expected_links(rows)
+    assert sum(x[3] for x in want) > 60 and any(0 < x[2] < x[3] for x in want)
+    df = frame(spark, rows)
+    assert sorted(map(tuple, P.links(df).collect())) == want
+    assert P.links(df).columns == ["doc_id", "class_id", "copies", "links"]
+    assert P.links(df.limit(0)).collect() == []
+    for name, value in (("BLOCK", 4), ("HOT", 2), ("HOT_SAMPLE", 1), ("DENSE", 3)):
+        monkeypatch.setattr(P, name, value)
+    assert sorted(map(tuple, P.links(df).collect())) == want
+
+
+def test_links_of_ids_that_repeat(spark):
+    x, y = "some words of a text", "quite another one instead"
+    rows = [(5, x), (5, y), (3, y), (7, x), (7, x), (8, None), (None, x)]
+    got = sorted(map(tuple, P.links(frame(spark, rows)).collect()))
+    assert got == [(3, 3, 1, 1), (5, 3, 1, 1), (5, 5, 1, 1), (7, 5, 1, 1), (8, 8, 0, 0)]
+
+
+def test_the_least_similar_pairs_share_a_part():
+    """10,000 pairs of similarity 0.70 to 0.72, of 8 to 4,096 n-grams; one set in the other, or half of the differences in each, or any share."""
+    r = np.random.default_rng(1)
+    missed = tried = 0
+    while tried < 10_000:
+        c, j = int(np.exp(r.uniform(np.log(8), np.log(4096)))), r.uniform(0.7, 0.72)
+        d = int(c * (1 - j) / j)
+        x = (0, d // 2, int(r.integers(0, d + 1)))[tried % 3]
+        if not 0.7 <= c / (c + d) <= 0.72:
+            continue
+        v = r.integers(0, 2**P.HASH_BITS, c + d, dtype=np.uint64)
+        a, b = np.sort(v[: c + x]), np.sort(np.concatenate([v[:c], v[c + x :]]))
+        names, rows = P.part_names(np.concatenate([a, b]), np.array([len(a), len(b)]), P.THRESHOLD)
+        missed += not len(np.intersect1d(names[rows == 0], names[rows == 1]))
+        tried += 1
+    assert missed == 0
+
+
+def test_whole_tables_against_sql_of_the_registry(spark):
+    import duckdb
+
+    from quire.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = duckdb.sql(queries.ORACLE_SQL["op8_ngram_jaccard_join"]).fetchall()
+    got = queries.QUERIES["op8_ngram_jaccard_join"](spark, sf)
+    assert got.columns == ["doc_id", "class_id", "copies", "links"]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_ids_of_several_texts_keep_one_of_each_group(spark):
     x, y = "some words of a text", "quite another one instead"
     rows = [(5, x), (5, y), (3, y), (7, x), (8, "first of eight"), (8, "second, not alike"), (9, None), (9, "nine"), (9, None), (10, "two words"), (10, "two words!"), (11, "NINE")]
@@ -135,20 +231,6 @@ def test_sketch_distance_is_a_lower_bound(a, b):
     assert np.bitwise_count(wide[0] ^ wide[1]).sum() <= len(a ^ b)
 
 
-def test_contained_texts_that_straddle_a_band_edge_share_parts():
-    """A set just below a power of two, held by one of the band above, at the threshold."""
-    r = np.random.default_rng(3)
-    for band in (6, 8, 10):
-        small = 2 ** (band + 1) - 1
-        large, few, n = int(small / P.THRESHOLD), 0, 400
-        for _ in range(n):
-            b = np.unique(r.integers(0, 2**P.HASH_BITS, large, dtype=np.uint64))
-            a = np.sort(r.choice(b, small, replace=False))
-            names, rows = P.part_names(np.concatenate([a, b]), np.array([len(a), len(b)]), P.THRESHOLD)
-            few += len(np.intersect1d(names[rows == 0], names[rows == 1])) < 2
-        assert few <= 0.025 * n
-
-
 def test_components(spark):
     r = random.Random(4)
     edges = [(k, k + 1) for k in range(1, 60)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(30)] + [(7, 7), (3, 4)]
