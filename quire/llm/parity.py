@@ -12,7 +12,7 @@ of parts; a set small enough to have a partner in a lower band is entered there
 Strict pigeonhole takes one part more than there may be differences. Fewer are used: as many as leave ``EQUAL`` parts
 equal on average in a pair at the threshold, of whatever sizes the band brings together. One equal part
 makes a candidate, for sets of all sizes alike. The parts that differences fall in are independent, so that
-such a pair has no equal part with probability ``exp(-EQUAL)``, 1 in 22,000, and a closer one far more rarely.
+such a pair has no equal part with probability ``exp(-EQUAL)`` at most, 1 in 3,000 (none of 60,000 when tried), and a closer one far more rarely.
 
 A group of near copies would send each of its pairs once for every part that they share, so
 groups go a shorter way. Every set looks for a *root*: the least set with which it shares most of a fixed
@@ -41,13 +41,13 @@ from .shared import discard, list_array, materialize, text_parts
 N = 2
 THRESHOLD = 0.7
 #: Parts left equal, on average, in a pair at the threshold.
-EQUAL = 10.0
+EQUAL = 8.0
 #: Width of a size band.
 RATIO = 1.5
 #: Bits of an n-gram's hash.
 HASH_BITS = 46
-#: Bits of the screening sketch that travels with every part name, beside 16 for the size.
-SKETCH_BITS = 48
+#: Bits of the screening sketch that travels with every part name: 48 beside the size's 16, and a word more.
+SKETCH_BITS, LOW_BITS = 112, 48
 #: Bits of the sketch that screens candidates before they are verified.
 WIDE_BITS = 2048
 #: One part name in so many (a power of two) is used to find roots.
@@ -145,27 +145,29 @@ def part_names(g: np.ndarray, size: np.ndarray, t: float, equal: float = EQUAL)
     return np.concatenate(names), np.concatenate(rows)
 
 
-def short_sketch(g: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Size (16 bits, saturating) and a ``SKETCH_BITS`` parity sketch of each row's set."""
-    out = np.minimum(size, 65535).astype(np.uint64) << np.uint64(SKETCH_BITS)
+def short_sketch(g: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Size (16 bits, saturating) and a parity sketch of ``SKETCH_BITS`` of each row's set, in two words."""
+    low, high = np.minimum(size, 65535).astype(np.uint64) << np.uint64(LOW_BITS), np.zeros(len(size), np.uint64)
     has = size > 0
     if has.any():
-        bit = np.uint64(1) << (mix(g) % np.uint64(SKETCH_BITS))
-        out[has] |= np.bitwise_xor.reduceat(bit, _starts(size)[has])
-    return out
+        at, bit = _starts(size)[has], mix(g) % np.uint64(SKETCH_BITS)
+        one, first = np.uint64(1), bit < LOW_BITS
+        low[has] |= np.bitwise_xor.reduceat(np.where(first, one << np.minimum(bit, np.uint64(63)), np.uint64(0)), at)
+        high[has] = np.bitwise_xor.reduceat(np.where(first, np.uint64(0), one << (np.maximum(bit, np.uint64(LOW_BITS)) - np.uint64(LOW_BITS))), at)
+    return low, high
 
 
-def _possible(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+def _possible(a: np.ndarray, a2: np.ndarray, b: np.ndarray, b2: np.ndarray, t: float) -> np.ndarray:
     """Whether sets with these short sketches can reach ``t``."""
-    low = np.uint64((1 << SKETCH_BITS) - 1)
-    na, nb = (a >> np.uint64(SKETCH_BITS)).astype(np.float64), (b >> np.uint64(SKETCH_BITS)).astype(np.float64)
+    low = np.uint64((1 << LOW_BITS) - 1)
+    na, nb = (a >> np.uint64(LOW_BITS)).astype(np.float64), (b >> np.uint64(LOW_BITS)).astype(np.float64)
     open_ = np.maximum(na, nb) >= 65535
-    near = np.bitwise_count((a ^ b) & low) <= most_differences(t, na, nb) + 1e-6
-    return open_ | (near & (np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-6))
+    apart = np.bitwise_count((a ^ b) & low) + np.bitwise_count(a2 ^ b2)
+    return open_ | ((apart <= most_differences(t, na, nb) + 1e-6) & (np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-6))
 
 
 def _index(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, equal: float) -> DataFrame:
-    """``doc_id, name, more, size, meta, names`` of every text with an n-gram."""
+    """``doc_id, name, more, size, meta, meta2, names`` of every text with an n-gram."""
 
     def run(batches):
         for b in batches:
@@ -177,12 +179,12 @@ def _index(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, equal:
                 count = np.bincount(row, minlength=len(size))[keep]
                 halves = [pa.array(x[keep].view(np.int64)) for x in nodes_of(g, size)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, len(size)).take(pa.array(keep)), *halves, pa.array(size[keep]), pa.array(short_sketch(g, size)[keep].view(np.int64)), list_array(name[order].view(np.int64), count)],
-                    names=["doc_id", "name", "more", "size", "meta", "names"],
+                    [b.column(0).slice(lo, len(size)).take(pa.array(keep)), *halves, pa.array(size[keep]), *(pa.array(x[keep].view(np.int64)) for x in short_sketch(g, size)), list_array(name[order].view(np.int64), count)],
+                    names=["doc_id", "name", "more", "size", "meta", "meta2", "names"],
                 )
 
     d = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull())
-    return d.mapInArrow(run, "doc_id bigint, name bigint, more bigint, size bigint, meta bigint, names array<bigint>")
+    return d.mapInArrow(run, "doc_id bigint, name bigint, more bigint, size bigint, meta bigint, meta2 bigint, names array<bigint>")
 
 
 def _groups(batches, columns: int):
@@ -257,47 +259,47 @@ def _hot_names(rows: DataFrame) -> DataFrame | None:
 
 
 def _cells(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """``cell, side, node, meta, root``: the rows to compare by part name; hot names are cut into pairs of blocks of nodes.
+    """``cell, side, node, meta, meta2, root``: the rows to compare by part name; hot names are cut into pairs of blocks of nodes.
 
     ``side`` is 0 in a block by itself; of a pair of blocks, 1 and 2 are compared with each other only.
     """
-    each = rows.select(F.explode("names").alias("part"), "node", "meta", "root")
-    cold = (each if hot is None else each.join(F.broadcast(hot.select("part")), "part", "left_anti")).select(F.col("part").alias("cell"), F.lit(0).cast("tinyint").alias("side"), "node", "meta", "root")
+    each = rows.select(F.explode("names").alias("part"), "node", "meta", "meta2", "root")
+    cold = (each if hot is None else each.join(F.broadcast(hot.select("part")), "part", "left_anti")).select(F.col("part").alias("cell"), F.lit(0).cast("tinyint").alias("side"), "node", "meta", "meta2", "root")
     if hot is None:
         return cold
     cut = each.join(F.broadcast(hot.select("part", "cuts")), "part").withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("cuts")))
     cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)))
     side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).cast("tinyint")
-    return cold.unionAll(cut.select(F.xxhash64("part", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), side.alias("side"), "node", "meta", "root"))
+    return cold.unionAll(cut.select(F.xxhash64("part", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), side.alias("side"), "node", "meta", "meta2", "root"))
 
 
 def _candidates(t: float):
-    """Candidate pairs ``a, b`` of different roots from rows ``cell, side, node, meta, root`` sorted by cell and root."""
+    """Candidate pairs ``a, b`` of different roots from rows ``cell, side, node, meta, meta2, root`` sorted by cell and root."""
 
-    def cross(side, node, meta, root):
+    def cross(side, node, meta, meta2, root):
         edge = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
         for lo, hi in zip(edge[1:], np.append(edge[2:], len(root))):
             # each row of the smaller side with all rows of the other
             one, others = (range(lo, hi), slice(0, lo)) if hi - lo <= lo else (range(lo), slice(lo, hi))
             for i in one:
-                ok = _possible(meta[others], meta[i], t) & ((side[others] == 0) | (side[others] != side[i]))
+                ok = _possible(meta[others], meta2[others], meta[i], meta2[i], t) & ((side[others] == 0) | (side[others] != side[i]))
                 if ok.any():
                     y = node[others][ok]
                     yield np.minimum(y, node[i]), np.maximum(y, node[i])
 
-    def pairs(key, side, node, meta, root):
-        meta = meta.view(np.uint64)
+    def pairs(key, side, node, meta, meta2, root):
+        meta, meta2 = meta.view(np.uint64), meta2.view(np.uint64)
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(edge, len(key)))
         # sorted by root: a group is of one root if its ends are
         mixed = root[edge] != root[edge + size - 1]
         two = edge[mixed & (size == 2)]
         if len(two):
-            ok = two[_possible(meta[two], meta[two + 1], t) & ((side[two] == 0) | (side[two] != side[two + 1]))]
+            ok = two[_possible(meta[two], meta2[two], meta[two + 1], meta2[two + 1], t) & ((side[two] == 0) | (side[two] != side[two + 1]))]
             yield np.minimum(node[ok], node[ok + 1]), np.maximum(node[ok], node[ok + 1])
         for e, n in zip(edge[mixed & (size > 2)], size[mixed & (size > 2)]):
             s = slice(e, e + n)
-            yield from cross(side[s], node[s], meta[s], root[s])
+            yield from cross(side[s], node[s], meta[s], meta2[s], root[s])
 
     def batch(parts):
         ab = np.unique(np.stack([np.concatenate(c) for c in zip(*parts)], 1), axis=0) if len(parts) else np.empty((0, 2), np.int64)
@@ -305,7 +307,7 @@ def _candidates(t: float):
 
     def run(batches):
         kept, n = [], 0
-        for rows in _groups(batches, 5):
+        for rows in _groups(batches, 6):
             for x in pairs(*rows):
                 kept.append(x)
                 n += len(x[0])
@@ -530,13 +532,13 @@ def similar_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = materialize(ids.select("doc_id", "name", "more").join(names.select("name", "more", "node", "members"), ["name", "more"]).select("doc_id", "node", "name", "more", "members"), "parity-nodes")
     if repeated:
         rows = index.withColumnRenamed("doc_id", "i").drop("size").join(names, ["name", "more", "i"])
-        rows = rows.groupBy("node").agg(F.first("meta").alias("meta"), F.first("names").alias("names"))
+        rows = rows.groupBy("node").agg(F.first("meta").alias("meta"), F.first("meta2").alias("meta2"), F.first("names").alias("names"))
         rows = materialize(rows, "parity-rows")
         discard(index)
     else:
         # copies are few beside the index, whose long rows then needn't be shuffled
         copies = materialize(nodes.where("doc_id <> node").select("doc_id"), "parity-copies")
-        rows = index.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "node").select("node", "meta", "names")
+        rows = index.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "node").select("node", "meta", "meta2", "names")
     hot = _hot_names(rows)
     roots = _roots(rows, hot)
     known = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots

@@ -104,16 +104,16 @@ def batch(rows, names):
 
 def test_groups_of_part_names_over_batches():
     """A batch of one name, first or later, and one that goes on with the name before it."""
-    rows = lambda *r: batch([(k, 0, n, 1 << P.SKETCH_BITS, n) for k, n in r], ["cell", "side", "node", "meta", "root"])
+    rows = lambda *r: batch([(k, 0, n, 1 << P.LOW_BITS, 0, n) for k, n in r], ["cell", "side", "node", "meta", "meta2", "root"])
     batches = [rows((1, 1)), rows((1, 2)), rows((2, 3)), rows((2, 4), (3, 5)), rows((3, 6))]
     got = [tuple(r.values()) for b in P._candidates(0.7)(iter(batches)) for r in b.to_pylist()]
     assert got == [(1, 2), (3, 4), (5, 6)]
 
 
 def test_candidates_are_of_different_roots_and_sides():
-    meta = 1 << P.SKETCH_BITS
-    rows = [(1, 0, 5, meta, 5), (1, 0, 6, meta, 5), (1, 0, 7, meta, 7), (2, 1, 1, meta, 1), (2, 1, 2, meta, 2), (2, 2, 3, meta, 3), (3, 0, 8, meta, 8), (3, 0, 9, meta, 8)]
-    got = {tuple(r.values()) for b in P._candidates(0.7)(iter([batch(rows, ["cell", "side", "node", "meta", "root"])])) for r in b.to_pylist()}
+    meta = 1 << P.LOW_BITS
+    rows = [(c, s, n, meta, 0, r) for c, s, n, r in ((1, 0, 5, 5), (1, 0, 6, 5), (1, 0, 7, 7), (2, 1, 1, 1), (2, 1, 2, 2), (2, 2, 3, 3), (3, 0, 8, 8), (3, 0, 9, 8))]
+    got = {tuple(r.values()) for b in P._candidates(0.7)(iter([batch(rows, ["cell", "side", "node", "meta", "meta2", "root"])])) for r in b.to_pylist()}
     assert got == {(5, 7), (6, 7), (1, 3), (2, 3)}
 
 
@@ -225,9 +225,9 @@ def test_a_large_group_is_cut_into_blocks(spark, monkeypatch):
 @given(st.sets(st.integers(0, 2**46 - 1), min_size=1, max_size=300), st.sets(st.integers(0, 2**46 - 1), min_size=1, max_size=300))
 def test_sketch_distance_is_a_lower_bound(a, b):
     g, size = np.array(sorted(a) + sorted(b), np.uint64), np.array([len(a), len(b)])
-    short, wide = P.short_sketch(g, size), P._wide(g, size)
-    low = np.uint64((1 << P.SKETCH_BITS) - 1)
-    assert np.bitwise_count((short[0] ^ short[1]) & low) <= len(a ^ b)
+    (low, high), wide = P.short_sketch(g, size), P._wide(g, size)
+    mask = np.uint64((1 << P.LOW_BITS) - 1)
+    assert np.bitwise_count((low[0] ^ low[1]) & mask) + np.bitwise_count(high[0] ^ high[1]) <= len(a ^ b)
     assert np.bitwise_count(wide[0] ^ wide[1]).sum() <= len(a ^ b)
 
 
