@@ -34,10 +34,9 @@ def op5_language_id(spark, sf_dir):
 
 
 def op6_url_rules(spark, sf_dir):
-    """A page's label is that of the document of its number, bad where the quality is 0."""
+    """The tables label no URL. Weak labels stand in: every page counts, and is bad if a word of its host's name is in ``urlrules.SEEDS``."""
     pages = table("pages", spark, sf_dir)
-    labels = table("labels", spark, sf_dir).select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("bad"))
-    return urlrules.apply_rules(pages, urlrules.mine(pages, labels))
+    return urlrules.apply_rules(pages, urlrules.mine(pages, urlrules.weak_labels(pages)))
 
 
 def op7_chat_windows(spark, sf_dir):

@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from .shared import discard, materialize
 
+#: A combination must occur among the bad in this share of the labelled URLs, and so often at least.
 MIN_SUPPORT = 0.002
-MIN_COUNT = 10
+MIN_COUNT = 3
 MIN_CONFIDENCE = 0.8
 BAD = "label:bad"
+#: Words of a host's name that make a URL bad where there are no labels.
+SEEDS = ("ads", "adult", "bet", "bets", "casino", "gambling", "pills", "poker", "porn", "spam", "track", "tracker", "viagra", "xxx")
 #: Rules up to which the index is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -40,11 +43,23 @@ def tokens(url):
     return F.when(u == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.filter(every, lambda x: ~x.isin("host:", "path:", "key:", "scheme:"))))
 
 
+def weak_labels(urls: DataFrame, id_col: str = "page_id", url_col: str = "url", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+    """``id, bad`` of every URL with an id: bad if a word of its host's name (as letters and digits part words) is a seed.
+
+    Null and empty URLs are labelled not bad; :func:`mine` leaves them out, as they have no tokens.
+    """
+    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(F.col(url_col).cast("string"), F.lit("")))), r"^[a-z][a-z0-9+.-]*://", "")
+    words = F.split(F.regexp_extract(bare, r"^([^/?#]*)", 1), r"[^\p{L}\p{N}]+")
+    return urls.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.arrays_overlap(words, F.array(*map(F.lit, seeds))).alias("bad"))
+
+
 def mine(urls: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules ``tokens, confidence, support`` from ``labels`` (``id, bad``), written to the shared folder.
 
-    Every labelled URL counts. Ids labelled more than once are bad if any label says so.
-    Rules may have any number of tokens. Labels without bad URLs, or none, give no rule.
+    Every labelled URL counts; null and empty ones have no tokens and don't. Ids labelled more than once are bad if any label says so;
+    rows that repeat an id count each. A rule's tokens and the label occur together in ``min_support`` of the labelled URLs and
+    ``min_count`` of them at least; of these, ``min_confidence`` or more are bad (a share equal to a limit is enough). Rules may have any number of tokens.
+    Fewer than ``min_count`` bad URLs give no rule. Of rules of equal tokens there is one; other columns are ignored.
     """
     known = labels.where("id is not null and bad is not null").groupBy("id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     base = urls.select(F.col(id_col).cast("bigint").alias("id"), tokens(F.col(url_col)).alias("tokens")).join(known, "id").where(F.size("tokens") > 0)

@@ -39,7 +39,7 @@ def test_rules_against_counting(spark):
         for c in combinations(sorted(set().union(*sets.values())), n):
             hit = [i for i, s in sets.items() if s >= set(c)]
             good = sum(i in bad for i in hit)
-            if good >= 10 and good / len(hit) >= 0.8:
+            if good >= U.MIN_COUNT and good / len(hit) >= 0.8:
                 want[c] = good / len(hit)
     want = {c: v for c, v in want.items() if not any(set(d) < set(c) and w >= v for d, w in want.items())}
     rules = U.mine(df, lab)
@@ -69,7 +69,7 @@ def test_rules_of_every_size_against_counting(spark):
     for n in range(1, len(every) + 1):
         for c in combinations(every, n):
             hit = [i for i, s in sets.items() if s >= set(c)]
-            if (hits := sum(i in bad for i in hit)) >= 10 and hits / len(hit) >= 0.8:
+            if (hits := sum(i in bad for i in hit)) >= U.MIN_COUNT and hits / len(hit) >= 0.8:
                 want[c] = hits / len(hit)
     want = {c: v for c, v in want.items() if not any(set(d) < set(c) and w >= v for d, w in want.items())}
     assert list(want) == [tuple(sorted(["host:bad.example.com", "path:pills", "path:cheap", "key:ref"]))]
@@ -100,3 +100,39 @@ def test_edge_cases(spark):
     none = U.mine(df, spark.createDataFrame([], "id bigint, bad boolean"))
     assert none.count() == 0 and U.apply_rules(df, none).where("not keep").count() == 0
     assert U.apply_rules(df.limit(0), rules).collect() == []
+
+
+def test_the_query_against_counting(spark):
+    """All token combinations of bad pages of the table, counted one by one; and what they say of every page."""
+    from quire.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    sets = {r["page_id"]: frozenset(r["t"]) for r in pages.select("page_id", U.tokens(F.col("url")).alias("t")).collect()}
+    bad = {r["id"] for r in U.weak_labels(pages).where("bad").collect()}
+    urls_ = {r["page_id"]: r["url"] for r in pages.collect()}
+    assert bad == {i for i, u in urls_.items() if any(w in u.split("/")[2].replace("-", ".").split(".") for w in U.SEEDS)}
+    least = max(U.MIN_COUNT, U.MIN_SUPPORT * len(sets))
+    found = set()
+    for i in bad:
+        for n in range(1, len(sets[i]) + 1):
+            found.update(combinations(sorted(sets[i]), n))
+    want = {}
+    for c in found:
+        hit = [i for i, s in sets.items() if s >= set(c)]
+        n = sum(i in bad for i in hit)
+        if n >= least and n / len(hit) >= U.MIN_CONFIDENCE:
+            want[c] = n / len(hit)
+    want = {c: v for c, v in want.items() if not any(set(d) < set(c) and w >= v for d, w in want.items())}
+    assert want
+    got = queries.QUERIES["op6_url_rules"](spark, sf).collect()
+    assert len(got) == len(sets) and any(not r["keep"] for r in got)
+    for r in got:
+        mine = sorted((-v, c) for c, v in want.items() if sets[r["page_id"]] >= set(c))
+        assert r["n_rules"] == len(mine) and r["keep"] == (not mine)
+        assert r["rule"] == (" & ".join(mine[0][1]) if mine else None)
+
+
+def test_labels_from_seeds(spark):
+    df = urls(spark, [(1, "http://www.free-bets.example.com/x"), (2, "https://bets"), (3, "https://alphabets.example.com/bets"), (4, None), (5, ""), (None, "http://spam.example.com")])
+    assert {r["id"]: r["bad"] for r in U.weak_labels(df).collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
