@@ -1,7 +1,7 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads UTF-8 bytes in windows of ``WINDOW`` bytes (state starts at zero at
-either end of a window, in training and in use alike), gives every byte position a
+The network reads UTF-8 bytes in windows of ``WINDOW`` bytes (of half that in training; state starts at zero at
+either end of a window), gives every byte position a
 distribution over the languages, and a document the mean of its positions'
 distributions. Gates are hard sigmoids (a clipped line) and candidates softsigns, which
 cost a fraction of the exponential forms and train as well here. It is trained in numpy by backpropagation through time on a bounded
@@ -22,11 +22,11 @@ from .shared import text_parts
 
 WINDOW = 128
 HIDDEN = 8
-#: Labelled documents per language that training may look at, and the longest one in bytes.
+#: Labelled documents per language that training may look at, and how many characters of each, from its middle.
 PER_LANGUAGE = 256
-LONGEST_SAMPLE = 65_536
-#: Languages with fewer labelled documents than this share are not learned.
-MIN_SHARE = 0.001
+SAMPLE_CHARS = 16_384
+#: A byte's label takes one byte, of which 255 marks no byte.
+MOST_LANGUAGES = 255
 #: Documents whose best pooled probability is lower are rejected.
 MIN_PROB = 0.4
 
@@ -140,23 +140,26 @@ def train(texts: list[str], langs_of: list[str], steps: int = 260, batch: int =
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """The bounded labelled sample, on the driver.
+    """The bounded labelled sample, on the driver: ``per_language`` texts of each language, ``SAMPLE_CHARS`` characters long, at most.
 
-    The languages come from a count over the whole table; of each, the ``per_language``
-    documents of least id hash are taken (the rank filter is applied before the shuffle),
-    leaving out documents over ``LONGEST_SAMPLE`` bytes so that the bound holds in bytes.
+    Every language that labels a text is learned, however rare; of each, the ids of least hash are taken (the rank filter
+    is applied before the shuffle), and of an id that repeats one text. Rows without id, text or language are left out. More than
+    ``MOST_LANGUAGES`` languages are an error.
     """
     d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     d = d.where("i is not null and t is not null and l is not null")
-    counts = {r["l"]: r["n"] for r in d.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    langs = sorted(k for k, n in counts.items() if n >= MIN_SHARE * total)
     w = Window.partitionBy("l").orderBy("h", "i")
-    ids = d.where(F.col("l").isin(langs)).select("i", "l", F.xxhash64("i").alias("h")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_language)
-    ids = [r["i"] for r in ids.select("i").distinct().collect()]
+    # an id counts once, whatever the number of its rows
+    ids = d.select("i", "l").distinct().withColumn("h", F.xxhash64("i")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_language)
+    ids = [(r["i"], r["l"]) for r in ids.select("i", "l").limit(per_language * (MOST_LANGUAGES + 1)).collect()]
     if not ids:
         return [], []
-    rows = d.where(F.col("i").isin(ids) & (F.octet_length("t") <= LONGEST_SAMPLE) & F.col("l").isin(langs)).select("i", "t", "l").collect()
+    if len({k for _, k in ids}) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    chosen = docs.sparkSession.createDataFrame(ids, d.select("i", "l").schema)
+    at = F.greatest(F.lit(1), F.floor((F.char_length("t") - SAMPLE_CHARS) / 2) + 1).cast("int")
+    mine = d.join(F.broadcast(chosen), ["i", "l"]).select("i", "l", F.substring(F.col("t"), at, F.lit(SAMPLE_CHARS)).alias("t"))
+    rows = mine.groupBy("i", "l").agg(F.min("t").alias("t")).collect()
     rows = sorted(((r["i"], r["l"], r["t"]) for r in rows))
     return [r[2] for r in rows], [r[1] for r in rows]
 

@@ -143,3 +143,57 @@ def test_threshold_is_the_cheapest_cut():
     t = Q.choose_threshold(good, bad)
     cost = lambda c: Q.GOOD_WEIGHT * (good < c).mean() + (bad >= c).mean()
     assert cost(t) == pytest.approx(min(cost(c) for c in np.arange(-6, 6, 0.01)))
+
+
+def test_the_training_sample_is_bounded_and_covers_rare_languages(spark):
+    """An id of very many rows counts once, a language of one text is learned, a long text gives its middle."""
+    long = "a" * 30_000 + "b" * L.SAMPLE_CHARS + "c" * 30_000
+    extra = [(7, f"row {k}", "aa") for k in range(3000)] + [(5000, "jedno slovo", "zz"), (5001, long, "yy"), (5002, "no language", None)]
+    got, langs = L.training_rows(docs(spark, n=1500, extra=extra), per_language=20)
+    assert {k: langs.count(k) for k in set(langs)} == {"aa": 20, "bb": 20, "cc": 20, "yy": 1, "zz": 1}
+    assert got[langs.index("yy")] == "b" * L.SAMPLE_CHARS and got[langs.index("zz")] == "jedno slovo"
+    many = spark.createDataFrame([(k, "x", f"l{k}", "p", "s", "l") for k in range(L.MOST_LANGUAGES + 1)], SCHEMA)
+    with pytest.raises(ValueError):
+        L.training_rows(many, per_language=2)
+
+
+def test_scores_of_very_long_texts_and_clashing_columns(spark):
+    rows = [(k, "fine words of prose here", 1) for k in range(6)] + [(10 + k, "spam spam spam spam", 0) for k in range(4)]
+    df = spark.createDataFrame([(i, t, 1.0, 2, 3, True, -1) for i, t, _ in [*rows, (50, "fine words " * 200_000, 1), (50, "fine words " * 200_000, 1)]], "doc_id bigint, text string, score double, bucket int, raw int, keep boolean, target int")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id bigint, quality int")
+    m = Q.fit(df, labels)
+    kept = Q.keep_good(df, m)
+    assert kept.schema == df.schema and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 50, 50]
+    out = Q.score(df, m)
+    assert out.columns == ["doc_id", "n_features", "score", "keep"] and out.where("doc_id = 50 and keep and n_features > 700000").count() == 2
+    assert Q.fit(df, labels.limit(0)).threshold == float("-inf")
+
+
+@pytest.mark.parametrize("name", ["op5_language_id", "op9_quality_llr"])
+def test_queries_cover_every_row(spark, name):
+    """The query is the operator over all documents: same ids, and what a second computation of each text gives."""
+    from quire.llm import queries
+    from quire.llm.shared import text_parts
+    import pyarrow as pa
+
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in table.collect()}
+    got = {r["doc_id"]: r for r in queries.QUERIES[name](spark, sf).collect()}
+    assert sorted(got) == sorted(texts)
+    if name == "op5_language_id":
+        m = L.fit(table)
+        truth = {r["doc_id"]: r["lang"] for r in table.collect()}
+        for i in sorted(texts)[:12]:
+            x = np.frombuffer(texts[i].encode()[: 4 * L.WINDOW], np.uint8)
+            p = np.concatenate([states_one_by_one(m, x[k : k + L.WINDOW]) for k in range(0, len(x), L.WINDOW)])
+            assert (np.frombuffer(got[i]["labels"], np.uint8)[: len(x)] == p.argmax(1)).mean() > 0.98
+        assert sum(got[i]["lang_pred"] == truth[i] for i in got if len(texts[i]) > 40) >= 0.97 * sum(len(t) > 40 for t in texts.values())
+        return
+    m = Q.fit(table, spark.read.parquet(f"{sf}/labels.parquet"))
+    for i, t in texts.items():
+        for _, data, offs in text_parts(pa.array([t])):
+            f, _ = Q.features(data, offs)
+        assert got[i]["n_features"] == len(f)
+        if len(f):
+            assert got[i]["score"] == pytest.approx(m.llr[f].mean()) and got[i]["keep"] == bool(got[i]["score"] >= m.threshold)
