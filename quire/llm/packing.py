@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 CAPACITY = 2048
 #: Rows up to which the tables of ranks and matches are broadcast.
@@ -114,12 +114,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", leng
     ``piece`` numbers a text's pieces, ``start`` and ``n`` are its place in the text, ``seq`` and
     ``at`` the sequence and the place in it, in units of ``length`` (a column; words of ``text`` by
     default). Null and empty texts give one row of ``n = 0`` without a sequence. Repeated
-    rows and rows without id are packed each. Equal sizes rank by id. An empty table gives
-    no rows.
+    rows and rows without id are packed each. Equal sizes rank by id. Very long texts are cut into pieces, none is left out. Other
+    columns are ignored. An empty table gives no rows.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce((words() if length is None else length).cast("bigint"), F.lit(0)).alias("_n"))
+    # lengths are counted once; the range sort reads its input twice, to sample it and to sort it
+    lengths = d = materialize(d, "pack-lengths")
     cap = F.lit(capacity).cast("bigint")
     pieces = d.select("doc_id", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("_n") / cap) - 1, F.lit(0)))).alias("piece"))
     pieces = pieces.select("doc_id", "piece", (F.col("piece") * cap).alias("start"), F.least(F.col("_n") - F.col("piece") * cap, cap).alias("n"))
@@ -140,12 +142,26 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", leng
     matches = ([(capacity, 0, full, 0, capacity)] if full else []) + matches
     base = _small(spark, [(p, s, b) for p, s, b in before], "_q bigint, _s bigint, _base bigint")
     rank = sorted_.withColumn("_p", part).join(base, (F.col("_p") == F.col("_q")) & (F.col("n") == F.col("_s")), "left").select("doc_id", "piece", "start", "n", (F.col("_k") - F.col("_base")).alias("_rank"))
-    # one row per block of ranks, so that a size with many matches needs no scan of them
-    found = _small(spark, [(s, r, r + c, b - r, capacity - g) for s, r, c, b, g in matches], "_s bigint, _lo bigint, _hi bigint, _shift bigint, at bigint")
-    out = rank.join(found, (F.col("n") == F.col("_s")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")), "left")
+    # matches are looked up by size and block of ranks; a size has as many blocks as matches, so that a block meets about two of them
+    wide = {s: -(-c // n) for s, c, n in _totals(matches)}
+    rows = [(s, k, r, r + c, b - r, capacity - g) for s, r, c, b, g in matches for k in range(r // wide[s], (r + c - 1) // wide[s] + 1)]
+    found = _small(spark, rows, "_s bigint, _k bigint, _lo bigint, _hi bigint, _shift bigint, at bigint")
+    blocks = _small(spark, sorted(wide.items()), "_t bigint, _wide bigint")
+    rank = rank.join(blocks, F.col("n") == F.col("_t"), "left").withColumn("_block", F.floor(F.col("_rank") / F.col("_wide")))
+    out = rank.join(found, (F.col("n") == F.col("_s")) & (F.col("_block") == F.col("_k")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")), "left")
+    discard(lengths)
     return out.select("doc_id", "piece", "start", "n", (F.col("_rank") + F.col("_shift")).alias("seq"), "at")
 
 
+def _totals(matches: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """``(size, pieces, matches)`` of every size."""
+    out: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for s, _, c, _, _ in matches:
+        out[s][0] += c
+        out[s][1] += 1
+    return [(s, c, n) for s, (c, n) in out.items()]
+
+
 def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
     """A driver-made table, to be broadcast unless it has over ``BROADCAST_ROWS`` rows."""
     names = [c.split()[0] for c in schema.split(", ")]

@@ -72,3 +72,65 @@ def test_pack_of_nothing_and_of_bad_capacity(spark):
     assert packing.pack(df).collect() == []
     with pytest.raises(ValueError):
         packing.pack(df, 0)
+
+
+def placed(sizes, capacity):
+    """The plan, piece by piece: supersteps over single pieces and gaps instead of runs of equal ones.
+
+    Every step opens sequences for the largest pieces that no gap holds, then walks pieces and gaps by falling value with
+    a stack, whose top is the smallest gap that holds the piece: each piece's successor, one piece a gap, lower ranks first.
+    """
+    items = sorted(((-s, k) for k, s in enumerate(sizes)))
+    gaps, where, n = [], {}, 0
+    while items:
+        largest = max((g for g, _ in gaps), default=0)
+        stuck = [x for x in items if -x[0] > largest]
+        if stuck:
+            room = max(-(-sum(-s for s, _ in stuck) // capacity), sum(-2 * s > capacity for s, _ in stuck))
+            for s, k in stuck[:room]:
+                where[k] = (n, 0)
+                if -s < capacity:
+                    gaps.append((capacity + s, n))
+                n += 1
+            items = stuck[room:] + [x for x in items if -x[0] <= largest]
+        gaps.sort(key=lambda x: (-x[0], -x[1]))
+        stack, k, waiting, left = [], 0, [], []
+        for s, i in items:
+            while k < len(gaps) and gaps[k][0] >= -s:
+                stack.append(gaps[k])
+                k += 1
+            if not stack:
+                waiting.append((s, i))
+                continue
+            g, b = stack.pop()
+            where[i] = (b, capacity - g)
+            if g + s > 0:
+                left.append((g + s, b))
+        items, gaps = waiting, stack + gaps[k:] + left
+    return where
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pack_against_single_pieces(spark, seed):
+    """Each piece in the sequence and place that supersteps over single pieces give it."""
+    r = random.Random(40 + seed)
+    sizes = [min(60, max(1, int(r.lognormvariate(2.5, 1.0)))) for _ in range(400)]
+    df = spark.createDataFrame([(i, "w " * s, "s", "n", [1]) for i, s in enumerate(sizes)], SCHEMA)
+    got = {r["doc_id"]: (r["seq"], r["at"]) for r in packing.pack(df, 60).collect()}
+    assert got == placed(sizes, 60)
+
+
+def test_the_query_places_every_word_of_the_table(spark):
+    from quire.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = queries.QUERIES["op1_best_fit_packing"](spark, sf).collect()
+    n = check(rows, texts, packing.CAPACITY)
+    order = sorted(((-r["n"], r["doc_id"], r["piece"]) for r in rows if r["n"]))
+    full = sum(-s == packing.CAPACITY for s, _, _ in order)
+    rests = [-s for s, _, _ in order[full:]]
+    where = placed(rests, packing.CAPACITY)
+    by = {(r["doc_id"], r["piece"]): (r["seq"], r["at"]) for r in rows}
+    assert [by[i, p] for _, i, p in order[full:]] == [(where[k][0] + full, where[k][1]) for k in range(len(rests))]
+    assert n <= full + 1.03 * best_fit_decreasing(rests, packing.CAPACITY) + 1
