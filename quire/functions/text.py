@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LIST_ITEM = r"^\s*([-*•]\s|[0-9]+[.)]\s)"
-CAPTION = r"^\s*(?i:figure|table|fig\.)\s*[0-9]"
-LEVELS = r"^\s*[0-9]+(\.[0-9]+)*[\s:]"
-ROMAN = r"^\s*[IVXLCDM]{1,6}\.\s"
-CHAPTER = r"^\s*(?i:chapter|section|part|appendix)\s*([0-9]|[A-Z](\z|[:. \t]))"
-FOOTNOTE = r"^\s*([†‡§¶]|\*(\z|\S)|[⁰-⁹]|[0-9]{1,3}([.)]\s|\s))"
+#: Unicode white space, of which Java's ``\s`` and SQL's know the ASCII part only.
+SPACE = r"[\s\x{85}\p{Z}]"
+LIST_ITEM = rf"^{SPACE}*([-*•]{SPACE}|[0-9]+[.)]{SPACE})"
+CAPTION = rf"^{SPACE}*(?i:figure|table|fig\.){SPACE}*[0-9]"
+LEVELS = rf"^{SPACE}*[0-9]+(\.[0-9]+)*({SPACE}|:)"
+ROMAN = rf"^{SPACE}*[IVXLCDM]{{1,6}}\.{SPACE}"
+CHAPTER = rf"^{SPACE}*(?i:chapter|section|part|appendix){SPACE}*([0-9]|[A-Z](\z|[:. \t]))"
+FOOTNOTE = rf"^{SPACE}*([†‡§¶]|\*(\z|[^\s\x{{85}}\p{{Z}}])|[⁰-⁹]|[0-9]{{1,3}}([.)]{SPACE}|{SPACE}))"
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MATH = r"[0-9=+\-*/^()\[\]{}\x{0370}-\x{03FF}\x{2200}-\x{22FF}]"
 
 
+def trim_end(t: Column) -> Column:
+    return F.regexp_replace(t, SPACE + r"+\z", "")
+
+
+def trim_start(t: Column) -> Column:
+    return F.regexp_replace(t, rf"^{SPACE}+", "")
+
+
 def is_list_item(t: Column) -> Column:
     return t.rlike(LIST_ITEM)
 
@@ -32,26 +43,26 @@ def has_footnote_mark(t: Column) -> Column:
 
 def math_density(t: Column) -> Column:
     """Share of mathematical among visible characters; 0 without any."""
-    solid = F.regexp_replace(t, r"\s", "")
+    solid = F.regexp_replace(t, SPACE, "")
     return F.when(F.length(solid) == 0, F.lit(0.0)).otherwise((F.length(solid) - F.length(F.regexp_replace(solid, MATH, ""))) / F.length(solid))
 
 
 def ends_in(t: Column, marks: str) -> Column:
-    return F.rtrim(t).rlike(f"[{marks}]$")
+    return t.rlike(rf"[{marks}]{SPACE}*\z")
 
 
 def starts_lower(t: Column) -> Column:
-    return t.rlike(r"^\s*\p{Ll}")
+    return t.rlike(rf"^{SPACE}*\p{{Ll}}")
 
 
 def running_text(t: Column) -> Column:
     """Spaces, case and numbers evened out; see :func:`quire.operators.phrases.running_text`."""
-    x = F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
+    x = F.translate(F.trim(F.regexp_replace(F.replace(t, F.lit("\x01"), F.lit("")), SPACE + "+", " ")), _CAPITALS, _SMALL)
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[0-9]+", "\x01"), "(?<=\x01 )\x01", ""), "\x01", "#")
 
 
 def join_hyphenated(a: Column, b: Column) -> Column:
-    a, b = F.rtrim(a), F.ltrim(b)
+    a, b = trim_end(a), trim_start(b)
     return F.when(a.rlike(r"\p{L}[-‐]$"), F.concat(F.regexp_replace(a, r"[-‐]$", ""), b)).otherwise(F.concat(a, F.lit(" "), b))
 
 
@@ -64,11 +75,11 @@ def is_bold(weight: Column, name: Column) -> Column:
 
 
 def strip_bullet(t: Column) -> Column:
-    return F.regexp_replace(t, r"^\s*(?:[-*•] )?", "")
+    return F.regexp_replace(t, rf"^{SPACE}*(?:[-*•] )?", "")
 
 
 def footnote_id(t: Column) -> Column:
-    first = F.split(F.trim(t), r"\s+")[0]
+    first = F.split(trim_start(t), SPACE)[0]
     return F.when(F.octet_length(first) <= 3, first).otherwise(t)
 
 

@@ -60,6 +60,18 @@ def pages_from_rows(chars: list[dict], graphics: list[dict], pages: list[dict])
     return pages_from_columns(columns(chars, CHAR_COLUMNS), columns(graphics, GRAPHIC_COLUMNS), columns(pages, PAGE_COLUMNS))
 
 
+def _list(column: pa.ChunkedArray) -> list:
+    """A column as Python values, by way of numpy, which is many times as fast as value by value."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    kind = column.type
+    if column.null_count and not pa.types.is_string(kind):
+        return column.to_pylist()
+    if pa.types.is_string(kind) or pa.types.is_integer(kind) or pa.types.is_floating(kind):
+        return column.to_numpy().tolist()
+    return column.to_pylist()
+
+
 def split_styles(pages: list[Page]) -> list[Page]:
     return [p.with_blocks(grouping.split_styles(p.blocks)) for p in pages]
 
@@ -109,7 +121,7 @@ def _run(chars: DataFrame, graphics: DataFrame | None, pages: DataFrame | None,
         part = []
         for what, df_names in ((0, CHAR_COLUMNS), (1, GRAPHIC_COLUMNS), (2, PAGE_COLUMNS)):
             own = t.filter(pc.equal(t.column("what"), what)) if several else t if what == 0 else t.slice(0, 0)
-            part.append({n: own.column(n).to_pylist() if n in own.column_names else [] for n in df_names})
+            part.append({n: _list(own.column(n)) if n in own.column_names else [] for n in df_names})
         try:
             out = make(doc, pages_from_columns(*part))
         except Exception as e:  # one bad document must not end the job

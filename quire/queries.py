@@ -225,24 +225,9 @@ def _rules(spark, sf_dir):
     return boxes(spark, sf_dir).select("page", "ord", "flag", "l", "b", F.when(even, F.col("l") + 1).otherwise(F.col("r")).alias("r"), F.when(even, F.col("t")).otherwise(F.col("b") + 1).alias("t"))
 
 
-@query(f"""WITH {BOXES}, g AS {_RULES}, k AS (SELECT *, (r - l >= t - b) AS flat FROM g WHERE (r - l <= 2 AND t - b >= 10) OR (t - b <= 2 AND r - l >= 10)),
- c AS (SELECT DISTINCT page, flat, CASE WHEN flat THEN (b + t) / 2 ELSE (l + r) / 2 END AS pos FROM k WHERE CAST(floor(CASE WHEN flat THEN b ELSE l END) AS INT) % 4 = 0),
- n AS (SELECT page, flat, pos, lead(pos) OVER (PARTITION BY page, flat ORDER BY pos) AS nxt FROM c),
- x AS (SELECT a.page, a.pos AS col_lo, a.nxt AS col_hi, b.pos AS row_lo, b.nxt AS row_hi FROM n a JOIN n b USING (page) WHERE NOT a.flat AND b.flat AND a.nxt IS NOT NULL AND b.nxt IS NOT NULL)
- SELECT x.page, x.row_lo, x.col_lo, count(*) AS n, string_agg(CAST(o.ord AS VARCHAR), '<br>' ORDER BY o.ord) AS text FROM x JOIN boxes o ON o.page = x.page AND o.t > row_lo AND o.b < row_hi AND o.r > col_lo AND o.l < col_hi GROUP BY 1, 2, 3""")
-def reg_grid_cells(spark, sf_dir):
-    """Blocks in every cell of a grid that they overlap, from rules at every fourth point only, as its SQL has it.
-
-    Such cuts are never within tolerance of each other; :func:`reg_ruled_grids` takes all rules and merges them.
-    """
-    b = G.box()
-    k = _rules(spark, sf_dir).where(G.is_rule(b, F.lit("stroke"), F.lit(True))).withColumn("flat", G.is_flat(b))
-    k = k.where(F.floor(F.when(F.col("flat"), F.col("b")).otherwise(F.col("l"))) % 4 == 0)
-    c = k.select("page", "flat", F.when(F.col("flat"), G.center_y(b)).otherwise(G.center_x(b)).alias("at")).distinct()
-    n = c.withColumn("nxt", F.lead("at").over(W.partitionBy("page", "flat").orderBy("at"))).where("nxt is not null")
-    cells = n.where("not flat").select("page", F.col("at").alias("col_lo"), F.col("nxt").alias("col_hi")).join(n.where("flat").select("page", F.col("at").alias("row_lo"), F.col("nxt").alias("row_hi")), "page")
-    hit = cells.join(boxes(spark, sf_dir).select("page", "ord", "l", "b", "r", "t"), "page").where("t > row_lo and b < row_hi and r > col_lo and l < col_hi")
-    return hit.groupBy("page", "row_lo", "col_lo").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("ord")), lambda v: v.cast("string")), "<br>").alias("text"))
+#: Rules as the whole-page queries draw them: an odd box's left edge, an even one's bottom edge.
+THIN = f"""{BOXES}, edges AS (SELECT page, ord, l, b, CASE WHEN ord % 2 = 1 THEN l + 1 ELSE r END AS r, CASE WHEN ord % 2 = 1 THEN t ELSE b + 1 END AS t FROM boxes),
+ thin AS (SELECT *, r - l >= t - b AS flat, CASE WHEN r - l >= t - b THEN (b + t) / 2 ELSE (l + r) / 2 END AS pos FROM edges WHERE (r - l <= 2 AND t - b >= 10) OR (t - b <= 2 AND r - l >= 10))"""
 
 
 @query(f"""WITH {BOXES} SELECT a.page, a.ord, CASE WHEN a.flag = 'A' THEN 0.7 ELSE 0.5 END AS confidence FROM boxes a WHERE (a.flag = 'A' AND NOT ({_A} >= 1500 AND EXISTS (SELECT 1 FROM boxes b WHERE b.page = a.page AND b.flag = 'N' AND {_HOLDS})))
@@ -313,7 +298,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.lit("")
     for i, v in mark.items():
         m = F.when(k % 11 == i, v).otherwise(m)
-    return d.select("doc_id", k.cast("bigint").alias("k"), F.floor(k / 50).alias("page"), F.concat(m, "body").alias("text"), (F.lit(730) - 14 * (k % 50)).alias("b"), (F.lit(740) - 14 * (k % 50)).alias("t"))
+    return d.select("doc_id", k.cast("bigint").alias("k"), F.floor(k / 50).alias("page"), F.concat(m, "body").alias("text"), "body", (F.lit(730) - 14 * (k % 50)).alias("b"), (F.lit(740) - 14 * (k % 50)).alias("t"))
 
 
 _LIST, _CAP = r"^\s*([-*•]\s|[0-9]+[.)]\s)", r"^\s*(?i:figure|table|fig\.)\s*[0-9]"
@@ -346,16 +331,21 @@ def txt_join_hyphenated(spark, sf_dir):
     return p.select("doc_id", "k", X.join_hyphenated(F.when(F.col("k") % 3 == 0, F.concat("text", F.lit("-"))).otherwise(F.col("text")), F.col("b")).alias("joined"))
 
 
-@query(f"""WITH {LINES}, h AS (SELECT doc_id, page, k, k % 50 AS y, 'Page ' || CAST(page AS VARCHAR) || ' of ' || source AS text FROM lines_ JOIN documents USING (doc_id) WHERE k % 50 < 2),
- n AS (SELECT *, regexp_replace(lower(text), '[0-9]+', '#', 'g') AS norm FROM h),
- g AS (SELECT *, lag(page) OVER (PARTITION BY doc_id, norm ORDER BY page, k) AS page0, lag(y) OVER (PARTITION BY doc_id, norm ORDER BY page, k) AS y0 FROM n)
- SELECT DISTINCT doc_id, norm FROM g WHERE page = page0 + 1 AND abs(y - y0) <= 15.84""")
+_RUNNING = r"regexp_replace(regexp_replace(regexp_replace(translate(trim(regexp_replace(replace(body, chr(1), ''), '[\s\x{85}\p{Z}]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', chr(1), 'g'), '(' || chr(1) || ')( ' || chr(1) || ')+', chr(1), 'g'), chr(1), '#', 'g')"
+
+
+@query(f"""WITH {LINES}, h AS (SELECT doc_id, page, k, body, CASE WHEN t >= 728.64 THEN 'header' ELSE 'footer' END AS margin, CASE WHEN t >= 728.64 THEN (792 - t) / 792.0 ELSE b / 792.0 END AS y FROM lines_ JOIN rows_ USING (doc_id, k) WHERE t >= 728.64 OR b <= 63.36),
+ n AS (SELECT *, {_RUNNING} AS norm FROM h),
+ g AS (SELECT *, lag(page) OVER w AS page0, lag(y) OVER w AS y0 FROM n WHERE norm <> '' WINDOW w AS (PARTITION BY doc_id, margin, norm ORDER BY page, k))
+ SELECT doc_id, margin, norm, count(*) AS n, count(*) FILTER (page = page0 + 1 AND abs(y - y0) <= 0.02) AS again FROM g GROUP BY 1, 2, 3""")
 def win_repeated_bands(spark, sf_dir):
-    src = table(spark, sf_dir, "documents").select("doc_id", "source")
-    h = lines(spark, sf_dir).where("k % 50 < 2").join(src, "doc_id").select("doc_id", "page", "k", (F.col("k") % 50).alias("y"), X.running_text(F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(" of "), "source")).alias("norm"))
-    w = W.partitionBy("doc_id", "norm").orderBy("page", "k")
+    """Lines in the header and footer bands of every page: how often each text stands there, and on pages that follow each other, level."""
+    x = lines(spark, sf_dir).where((F.col("t") >= 0.92 * 792) | (F.col("b") <= 0.08 * 792))
+    top = F.col("t") >= 0.92 * 792
+    h = x.select("doc_id", "page", "k", F.when(top, "header").otherwise("footer").alias("margin"), F.when(top, (792 - F.col("t")) / 792).otherwise(F.col("b") / 792).alias("y"), X.running_text(F.col("body")).alias("norm")).where("norm <> ''")
+    w = W.partitionBy("doc_id", "margin", "norm").orderBy("page", "k")
     g = h.withColumn("page0", F.lag("page").over(w)).withColumn("y0", F.lag("y").over(w))
-    return g.where((F.col("page") == F.col("page0") + 1) & (F.abs(F.col("y") - F.col("y0")) <= 15.84)).select("doc_id", "norm").distinct()
+    return g.groupBy("doc_id", "margin", "norm").agg(F.count("*").alias("n"), F.count_if((F.col("page") == F.col("page0") + 1) & (F.abs(F.col("y") - F.col("y0")) <= 0.02)).alias("again"))
 
 
 _CLASS = f"""c AS (SELECT *, CASE WHEN t >= 728.64 THEN 'page_header' WHEN b <= 63.36 THEN 'page_footer' WHEN b <= 198 AND regexp_matches(text, '{_FOOT}') AND k % 2 = 0 THEN 'footnote'
@@ -537,9 +527,14 @@ def _chars(spark, sf_dir):
     return typeset_chars(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(r"""WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
+ w AS (SELECT doc_id, k, k // 50 AS page, length(body) - length(ltrim(body)) AS i0, length(rtrim(body)) AS i1, regexp_replace(trim(body), '\s+', ' ', 'g') AS line FROM r WHERE trim(body) <> ''),
+ c AS (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY doc_id, page ORDER BY k) = k - 1 THEN 0 ELSE 1 END AS cut FROM w),
+ n AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, page ORDER BY k) - 1 AS block FROM c)
+ SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(page AS INT) AS page, CAST(block AS INT) AS block, string_agg(line, chr(10) ORDER BY k) AS text, CAST(count(*) AS INT) AS n_lines,
+ CAST(72 + 6 * min(i0) AS FLOAT) AS "left", CAST(min(730 - 14 * (k % 50)) AS FLOAT) AS bottom, CAST(max(72 + 6 * i1) AS FLOAT) AS "right", CAST(max(740 - 14 * (k % 50)) AS FLOAT) AS top, CAST(10 AS FLOAT) AS size FROM n GROUP BY doc_id, page, block""")
 def grp_blocks(spark, sf_dir):
-    """Characters of all documents, typeset, grouped to words, lines and blocks."""
+    """Characters of all documents, typeset, grouped to words, lines and blocks: in a fixed-width face, lines without a blank one between them."""
     from .plans.document import blocks_table
 
     return blocks_table(_chars(spark, sf_dir))
@@ -569,10 +564,11 @@ def snk_markdown_pipeline(spark, sf_dir):
 
 @query()
 def met_table_similarity(spark, sf_dir):
-    """Tree similarities of each order's table with the next order's, as structure, text and boxes."""
+    """Tree similarities of each order's table with that of the same customer's next order, as structure, text and boxes."""
     cells = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))).alias("rows"))
     html = cells.select("l_orderkey", F.concat(F.lit("<table>"), F.array_join(F.transform("rows", lambda r: F.concat(F.lit("<tr><td>"), r["l_partkey"].cast("string"), F.lit("</td><td>"), r["l_returnflag"], F.lit("</td></tr>"))), ""), F.lit("</table>")).alias("html"))
-    both = html.withColumn("other", F.lead("html").over(W.partitionBy(F.col("l_orderkey") % 64).orderBy("l_orderkey"))).where("other is not null")
+    own = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("l_orderkey"))
+    both = html.join(own, "l_orderkey").withColumn("other", F.lead("html").over(W.partitionBy("o_custkey").orderBy("l_orderkey"))).where("other is not null")
 
     @F.pandas_udf("struct<structure: double, content: double, boxes: double>")
     def score(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -587,7 +583,16 @@ def _as_regions(x: DataFrame) -> DataFrame:
     return x.select(F.col("page").cast("string").alias("doc_id"), F.lit(0).alias("page"), F.col("ord").alias("region"), F.col("flag").alias("class"), F.col("l").alias("left"), F.col("b").alias("bottom"), F.col("r").alias("right"), F.col("t").alias("top"), "confidence")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, x AS (SELECT page, ord, l, b, r, t, confidence, CASE flag WHEN 'A' THEN 'table' WHEN 'R' THEN 'picture' ELSE 'text' END AS class FROM boxes),
+ f AS (SELECT *, row_number() OVER (PARTITION BY page, class ORDER BY confidence DESC, ord) AS rn FROM x WHERE ord % 2 = 0),
+ c AS (SELECT b.page, b.class, b.rn, list({{'iou': {_IOU}, 'ord': a.ord, 'giou': {_IOU} - ({_HULL} - ({_A} + {_B} - {_INTER})) / ({_HULL})}} ORDER BY {_IOU} DESC, a.ord) FILTER (a.ord IS NOT NULL) AS cands
+  FROM f b LEFT JOIN (SELECT * FROM x WHERE ord % 2 = 1) a ON a.page = b.page AND a.class = b.class GROUP BY 1, 2, 3),
+ m AS (SELECT page, class, 0 AS rn, CAST([] AS BIGINT[]) AS used, 0.0::DOUBLE AS giou FROM f WHERE rn = 1 UNION ALL
+  SELECT page, class, rn, CASE WHEN best.iou >= 0.3 THEN list_append(used, best.ord) ELSE used END, giou + CASE WHEN best.iou >= 0.3 THEN best.giou ELSE 0 END
+  FROM (SELECT m.page, m.class, c.rn, m.used, m.giou, list_filter(c.cands, lambda y: NOT list_contains(m.used, y.ord))[1] AS best FROM m JOIN c ON c.page = m.page AND c.class = m.class AND c.rn = m.rn + 1)),
+ e AS (SELECT page, class, max(len(used)) AS tp, arg_max(giou, rn) AS giou FROM m GROUP BY 1, 2),
+ s AS (SELECT class, sum(tp) AS tp, sum(giou) AS giou FROM e GROUP BY 1), n AS (SELECT class, count(*) FILTER (ord % 2 = 0) AS p, count(*) FILTER (ord % 2 = 1) AS g FROM x GROUP BY 1)
+ SELECT class, CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(p - coalesce(tp, 0) AS BIGINT) AS fp, CAST(g - coalesce(tp, 0) AS BIGINT) AS fn, round(coalesce(2.0 * tp / nullif(p + g, 0), 0), 9) AS f1, round(coalesce(giou / nullif(tp, 0), 0), 9) AS mean_giou, g AS support FROM n LEFT JOIN s USING (class)""")
 def met_region_report(spark, sf_dir):
     """Greedy matches of even against odd boxes of every page, pooled per class."""
     from .model import CLASSES
@@ -595,7 +600,7 @@ def met_region_report(spark, sf_dir):
 
     kind = F.when(F.col("class") == "A", CLASSES[8]).when(F.col("class") == "R", CLASSES[6]).otherwise(CLASSES[9])
     r = _as_regions(boxes(spark, sf_dir)).withColumn("class", kind)
-    return report(matches(r.where("region % 2 = 0"), r.where("region % 2 = 1"), 0.3))
+    return report(matches(r.where("region % 2 = 0"), r.where("region % 2 = 1"), 0.3)).withColumns({c: F.round(c, 9) for c in ("f1", "mean_giou")})
 
 
 def _per_page(spark, sf_dir, make, schema: str) -> DataFrame:
@@ -607,19 +612,34 @@ def _per_page(spark, sf_dir, make, schema: str) -> DataFrame:
     kinds = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
     names = [(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")]
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: r["ord"])
+    def one(rows: list[dict]) -> list[tuple]:
         blocks, rules = [], []
         for r in rows:
             box = Box(5 * r["l"], 5 * r["b"], 5 * r["l"] + r["l_quantity"], 5 * r["b"] + 12)
             text = f"b{r['ord']}"
             blocks.append(Block(box, [Line(text, box, [Word(text, box, [Char(c, box, "", r["size"]) for c in text])])]))
             rules.append(Graphic("stroke", Box(r["l"], r["b"], r["l"] + 1, r["t"]) if r["ord"] % 2 else Box(r["l"], r["b"], r["r"], r["b"] + 1), r["ord"]))
-        out = make(Page(0, 612.0, 792.0, blocks, rules))
-        cols = list(zip(*[(rows[0]["page"], *o) for o in out])) if out else [[]] * len(names)
-        return pa.table({n: pa.array(list(c), k) for (n, k), c in zip(names, cols)})
+        return [(rows[0]["page"], *o) for o in make(Page(0, 612.0, 792.0, blocks, rules))]
+
+    def run(batches):
+        """Many pages a call: rows come sorted by page, a page may go on in the next batch."""
+        kept: list[dict] = []
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if kept and kept[0]["page"] != r["page"]:
+                    out += one(kept)
+                    kept = []
+                kept.append(r)
+            if out:
+                yield batch(out)
+        if kept and (out := one(kept)):
+            yield batch(out)
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for (_, k), c in zip(names, zip(*out))], names=[n for n, _ in names])
 
-    return boxes(spark, sf_dir).groupBy("page").applyInArrow(run, schema)
+    return boxes(spark, sf_dir).repartition("page").sortWithinPartitions("page", "ord").mapInArrow(run, schema)
 
 
 @query()
@@ -630,15 +650,27 @@ def ord_xy_cut(spark, sf_dir):
     return _per_page(spark, sf_dir, lambda p: [(i, b.text) for i, b in enumerate(xy_cut(list(p.blocks), least_gutter(p), p.height))], "page bigint, pos bigint, text string")
 
 
-@query()
+@query(f"""WITH RECURSIVE {THIN}, e AS (SELECT a.page, a.ord AS x, b.ord AS y FROM thin a JOIN thin b ON a.page = b.page AND a.r + 3 >= b.l AND b.r >= a.l - 3 AND a.t + 3 >= b.b AND b.t >= a.b - 3),
+ reach AS (SELECT page, ord AS x, ord AS y FROM thin UNION SELECT reach.page, reach.x, e.y FROM reach JOIN e ON e.page = reach.page AND e.x = reach.y),
+ c AS (SELECT page, x AS ord, min(y) AS part FROM reach GROUP BY 1, 2),
+ f AS (SELECT thin.*, part, first_value(pos) OVER (PARTITION BY thin.page, part, flat ORDER BY thin.ord) AS pos0 FROM thin JOIN c ON c.page = thin.page AND c.ord = thin.ord)
+ SELECT page, min(l) AS l, min(b) AS b, max(r) AS r, max(t) AS t FROM f GROUP BY page, part HAVING bool_or(flat AND abs(pos - pos0) > 3) AND bool_or(NOT flat AND abs(pos - pos0) > 3)""")
 def reg_table_components(spark, sf_dir):
     """Ruled tables of every page by connected rules."""
     from .operators.regions import ruled_tables
 
-    return _per_page(spark, sf_dir, lambda p: [(i, *map(float, r.box)) for i, r in enumerate(ruled_tables(p))], "page bigint, pos bigint, l double, b double, r double, t double")
+    return _per_page(spark, sf_dir, lambda p: [tuple(map(float, r.box)) for r in ruled_tables(p)], "page bigint, l double, b double, r double, t double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {THIN}, k AS (SELECT *, row_number() OVER (PARTITION BY page, flat ORDER BY ord) AS nth FROM thin),
+ m AS (SELECT page, flat, nth, [pos] AS kept FROM k WHERE nth = 1 UNION ALL
+  SELECT k.page, k.flat, k.nth, CASE WHEN len(list_filter(m.kept, lambda x: abs(x - k.pos) <= 3)) = 0 THEN list_append(m.kept, k.pos) ELSE m.kept END FROM m JOIN k ON k.page = m.page AND k.flat = m.flat AND k.nth = m.nth + 1),
+ f AS (SELECT page, flat, list_sort(arg_max(kept, nth)) AS kept FROM m GROUP BY 1, 2), hull AS (SELECT page, min(l) AS x0, min(b) AS y0, max(r) AS x1, max(t) AS y1 FROM thin GROUP BY 1),
+ ys AS (SELECT page, len(kept) - i - 1 AS row, kept[i] AS lo, kept[i + 1] AS hi FROM (SELECT page, kept, unnest(range(1, len(kept))) AS i FROM f WHERE flat)),
+ xs AS (SELECT page, i - 1 AS col, kept[i] AS lo, kept[i + 1] AS hi FROM (SELECT page, kept, unnest(range(1, len(kept))) AS i FROM f WHERE NOT flat)),
+ o AS (SELECT boxes.page, ord, 5 * l AS l, 5 * b AS b, 5 * l + CAST(l_quantity AS DOUBLE) AS r, 5 * b + 12 AS t FROM boxes),
+ i AS (SELECT o.* FROM o JOIN hull USING (page) WHERE (l + r) / 2 BETWEEN x0 AND x1 AND (b + t) / 2 BETWEEN y0 AND y1)
+ SELECT ys.page, ys.row, xs.col, coalesce(string_agg('b' || CAST(ord AS VARCHAR), '<br>' ORDER BY ord), '') AS text FROM ys JOIN xs ON xs.page = ys.page LEFT JOIN i ON i.page = ys.page AND i.t > ys.lo AND i.b < ys.hi AND i.r > xs.lo AND i.l < xs.hi GROUP BY 1, 2, 3""")
 def reg_ruled_grids(spark, sf_dir):
     """Cells of every page's grid, from all its rules with those within tolerance merged, and the blocks in them; empty cells too."""
     from .model import hull
