@@ -1,6 +1,6 @@
 """Conversations as token-budgeted training windows.
 
-A conversation's turns are formatted with a template and counted in words. Prefix sums of
+A conversation's turns are formatted with a template and counted in tokens of a tokenizer (in words without one). Prefix sums of
 the counts give the cost of any span of turns. Windows are spans of whole turns: each
 holds the leading system turn, then up to ``HISTORY`` tokens of turns that earlier windows
 already had, then as many new turns as the budget allows, at least one. Only new assistant turns
@@ -12,14 +12,18 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUDGET = 256
-HISTORY = 64
+from . import unigram
+from .shared import text_parts
+
+BUDGET = 512
+HISTORY = 128
 OPEN, CLOSE = "<|{}|>\n", "\n<|end|>\n"
-#: Tokens of the template around every turn: its opening and its closing mark.
+#: Words of the template around every turn: its opening and its closing mark.
 OVERHEAD = 2
 FIELDS = [("conv_id", pa.int64()), ("window", pa.int64()), ("first_new", pa.int64()), ("turns", pa.list_(pa.int64())), ("targets", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("n_target_tokens", pa.int64()), ("text", pa.string())]
 SCHEMA = "conv_id bigint, window bigint, first_new bigint, turns array<bigint>, targets array<int>, n_tokens bigint, n_target_tokens bigint, text string"
@@ -50,9 +54,18 @@ def windows(costs: list[int], system: int, budget: int, history: int) -> list[tu
     return out
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def costs_of(texts: list[str], model: unigram.Model | None) -> list[int]:
+    """Tokens of every formatted turn; words where there is no model (its marks count one each)."""
+    if model is None:
+        return [len(t.split()) for t in texts]
+    return np.concatenate([unigram.encode_rows(model, data, offs)[1] for _, data, offs in text_parts(pa.array(texts, pa.string()))]).tolist() if texts else []
+
+
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, model: unigram.Model | None = None) -> DataFrame:
     """All windows of all conversations of ``turns`` (``conv_id, turn, role, text``).
 
+    Turns are counted with their marks, each by itself: in tokens of ``model``, else in words.
+
     ``turns`` lists the turn numbers of a window in order, ``targets`` has a mask of the same
     length, ``first_new`` is the first turn number that no earlier window had. Null text is
     empty text and null roles are ``user``. Turns are ordered by number, then role and text; repeated rows
@@ -63,16 +76,18 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     role = F.lower(F.coalesce(F.col("role").cast("string"), F.lit("user")))
-    trimmed = F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
-    cost = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, " "))) + OVERHEAD
-    t = turns.where("conv_id is not null and turn is not null").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.struct(F.col("turn").cast("bigint").alias("turn"), role.alias("role"), text.alias("text"), cost.cast("bigint").alias("cost")).alias("t"))
+    t = turns.where("conv_id is not null and turn is not null").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.struct(F.col("turn").cast("bigint").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
     convs = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 rows = []
-                for conv, ts in zip(b.column(0).slice(lo, 256).to_pylist(), b.column(1).slice(lo, 256).to_pylist()):
+                convs_ = b.column(1).slice(lo, 256).to_pylist()
+                costs = iter(costs_of([OPEN.format(x["role"]) + x["text"] + CLOSE for ts in convs_ for x in ts], model))
+                for conv, ts in zip(b.column(0).slice(lo, 256).to_pylist(), convs_):
+                    for x in ts:
+                        x["cost"] = next(costs)
                     system = next((i for i, x in enumerate(ts) if x["role"] != "system"), len(ts))
                     for w, (start, new, end) in enumerate(windows([x["cost"] for x in ts], system, budget, history)):
                         own = [*range(system), *range(start, end)]

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 _HEAD = struct.Struct("<4sBBqIIIB")
 _OPUS_MS = {**{c: (10, 20, 40, 60)[c % 4] for c in range(12)}, **{c: (10, 20)[c % 2] for c in range(12, 16)}, **{c: (2.5, 5, 10, 20)[c % 4] for c in range(16, 32)}}
-FIELDS = [("key", pa.int64()), ("serial", pa.int64()), ("codec", pa.string()), ("packet", pa.int64()), ("granule", pa.int64()), ("seconds", pa.float64()), ("n_bytes", pa.int64()), ("data", pa.binary()), ("damaged", pa.int64())]
-SCHEMA = "key bigint, serial bigint, codec string, packet bigint, granule bigint, seconds double, n_bytes bigint, data binary, damaged bigint"
+FIELDS = [("key", pa.int64()), ("serial", pa.int64()), ("codec", pa.string()), ("packet", pa.int64()), ("granule", pa.int64()), ("seconds", pa.float64()), ("n_bytes", pa.int64()), ("data", pa.binary()), ("damaged", pa.int64()), ("chain", pa.int64()), ("ended", pa.bool_())]
+SCHEMA = "key bigint, serial bigint, codec string, packet bigint, granule bigint, seconds double, n_bytes bigint, data binary, damaged bigint, chain bigint, ended boolean"
 
 
 def crc(page: bytes) -> int:
@@ -59,6 +59,7 @@ def read_pages(data: bytes):
     i = 0
     while (i := data.find(b"OggS", i)) >= 0:
         if i + 27 > len(data):
+            yield 0, 0, 0, -1, b"", b"", False
             return
         _, version, flags, granule, serial, number, want, n = _HEAD.unpack_from(data, i)
         lacing = data[i + 27 : i + 27 + n]
@@ -83,7 +84,8 @@ class _Stream:
         self.next = self.headers = None
         self.partial: list[bytes] | None = None
         self.packets: list[list] = []
-        self.damaged = 0
+        self.damaged = self.chain = 0
+        self.ended = False
 
     def identify(self, packet: bytes) -> None:
         if packet[:8] == b"OpusHead" and len(packet) >= 12:
@@ -99,19 +101,28 @@ class _Stream:
             self.headers = 0
 
 
-def demultiplex(data: bytes, rate: int | None = None) -> dict[int, _Stream]:
-    """The logical streams of a container with their packets ``[bytes, granule or None]``.
+def demultiplex(data: bytes, rate: int | None = None) -> dict[int | tuple[int, int], _Stream]:
+    """The logical streams of a container with their packets ``[bytes, granule or None]``, by serial number.
+
+    A page that begins a stream (flag 2) of a number that was seen before begins another stream, chained to it: it goes by
+    the number and its place in the chain. A page with the end flag ends its stream; pages that follow it all the same belong to it.
 
     After a damaged or missing page a packet that it held a part of is lost, and
     counted; the rest is read on. ``rate`` is for codecs that don't tell theirs.
     """
-    streams: dict[int, _Stream] = {}
+    streams: dict[int | tuple[int, int], _Stream] = {}
+    links: dict[int, int] = {}
     lost = 0
     for serial, number, flags, granule, lacing, body, good in read_pages(data):
         if not good:
             lost += 1
             continue
-        s = streams.setdefault(serial, _Stream())
+        if flags & 2 and serial in links:
+            links[serial] += 1
+        n = links.setdefault(serial, 0)
+        s = streams.setdefault((serial, n) if n else serial, _Stream())
+        s.chain = n
+        s.ended |= bool(flags & 4)
         if s.next is not None and number != s.next:
             s.damaged += 1
             s.partial = None
@@ -162,7 +173,9 @@ def packets(files: DataFrame, key_col: str = "key", ogg_col: str = "ogg", rate:
     it; ``seconds`` is that over the stream's rate (less Opus's pre-skip), null for
     header packets. ``damaged`` counts, in every row of a stream, pages that failed their
     checksum or were missing (failed ones count with the first stream, as their serial number can't be
-    trusted). Null and empty files and files without a sound page give no row.
+    trusted; a page cut short at the file's end is one). ``chain`` numbers the streams that follow one another under one serial number, from 0, each
+    with its own packet numbers and headers; ``ended`` says whether the stream's last page was there. Null and empty files and files without a sound page give no row.
+    Repeated rows are done each, null keys stay null, other columns are ignored, whatever their names; very long packets go over as many pages as they need. No rows give no rows.
     """
 
     def run(batches):
@@ -171,11 +184,12 @@ def packets(files: DataFrame, key_col: str = "key", ogg_col: str = "ogg", rate:
             for key, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 if not raw.is_valid:
                     continue
-                for serial, s in demultiplex(raw.as_py(), rate).items():
+                for name, s in demultiplex(raw.as_py(), rate).items():
+                    serial = name[0] if isinstance(name, tuple) else name
                     for k, (data, granule) in enumerate(s.packets):
                         head = k < (s.headers or 0)
                         at = None if head or granule is None or not s.rate else (granule - s.skip) / s.rate
-                        rows.append((key, serial, s.codec, k, granule, at, len(data), data, s.damaged))
+                        rows.append((key, serial, s.codec, k, granule, at, len(data), data, s.damaged, s.chain, s.ended))
                         size += len(data)
                 if size > 4 << 20 or len(rows) > 20_000:
                     yield _batch(rows)

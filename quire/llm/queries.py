@@ -40,7 +40,7 @@ def op6_url_rules(spark, sf_dir):
 
 
 def op7_chat_windows(spark, sf_dir):
-    return chat.format_windows(table("conversations", spark, sf_dir))
+    return chat.format_windows(table("conversations", spark, sf_dir), model=unigram.load(MODEL))
 
 
 def op8_ngram_jaccard_join(spark, sf_dir):

@@ -153,7 +153,23 @@ def double_array(words: list[bytes], values: list[int]) -> tuple[np.ndarray, np.
     return tuple(np.array(x[:top], np.int32) for x in (base, check, val))
 
 
+def check_normaliser(path: str) -> None:
+    """Refuse a model whose normaliser isn't the one built here: text as it is, a marker before it, markers for spaces."""
+    # the format's own defaults
+    spec = {"charsmap": b"", "prefix": 1, "fewer spaces": 1, "markers": 1}
+    with open(path, "rb") as f:
+        raw = f.read()
+    for no, v in _fields(raw):
+        if no == 3:
+            for k, x in _fields(v):
+                if 2 <= k <= 5:
+                    spec[list(spec)[k - 2]] = x
+    if spec != {"charsmap": b"", "prefix": 1, "fewer spaces": 0, "markers": 1}:
+        raise ValueError(f"the model's normaliser isn't supported: {({k: len(v) if k == 'charsmap' else v for k, v in spec.items()})}")
+
+
 def load(path: str = DEFAULT_MODEL) -> Model:
+    check_normaliser(path)
     pieces = read_pieces(path)
     normal = [s for _, s, k in pieces if k == NORMAL]
     low, high = min(normal), max(normal)
@@ -349,13 +365,20 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def decode(rows: DataFrame, model: Model, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``doc_id, text`` of every row of ids; null ids give a null text, ids out of range an error."""
+    """``doc_id, text`` of every row of ids; null ids give a null text, none an empty one, a null among them or one out of range an error.
+
+    Bytes that aren't UTF-8 become replacement characters. Null ids of rows and repeated rows pass through, other columns are ignored.
+    """
 
     def run(batches):
         for b in batches:
             arr = b.column(1)
             count = arr.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            out, size = decode_rows(model, arr.flatten().to_numpy(zero_copy_only=False), count)
+            flat = arr.flatten()
+            ids = flat.fill_null(-1).to_numpy(zero_copy_only=False)
+            if ((ids < 0) | (ids >= len(model.size))).any():
+                raise ValueError(f"ids must be from 0 to {len(model.size) - 1}, and not null")
+            out, size = decode_rows(model, ids, count)
             at = starts(size)
             raw = out.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[i : i + n].decode("utf-8", "replace") if ok else None for i, n, ok in zip(at, size, arr.is_valid().to_pylist())], pa.string())], names=["doc_id", "text"])

@@ -54,3 +54,29 @@ def test_edge_cases(spark):
     assert [(r["conv_id"], r["turns"], r["targets"]) for r in out] == [(1, [0, 0], [0, 0]), (2, [0], [0]), (4, [1], [1]), (4, [1], [1])]
     assert out[1]["first_new"] is None and out[2]["n_target_tokens"] == 50_002
     assert chat.format_windows(df.limit(0)).collect() == []
+
+
+def test_the_query_against_brute_force(spark):
+    """Windows of every conversation of the table, with tokens counted turn by turn."""
+    from collections import defaultdict
+
+    import numpy as np
+
+    from quire.llm import queries, unigram
+
+    sf, m = "/root/testdata/sf0.001", unigram.load(queries.MODEL)
+    convs = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        convs[r["conv_id"]].append((r["turn"], r["role"].lower(), r["text"]))
+    want = {}
+    for c, ts in convs.items():
+        ts.sort()
+        texts = [chat.OPEN.format(role) + text + chat.CLOSE for _, role, text in ts]
+        costs = [int(unigram.encode_rows(m, np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[1][0]) for t in texts]
+        system = next((i for i, x in enumerate(ts) if x[1] != "system"), len(ts))
+        for w, (start, new, end) in enumerate(brute_windows(costs, system, chat.BUDGET, chat.HISTORY)):
+            own = [*range(system), *range(start, end)]
+            target = [int(i >= new and ts[i][1] == "assistant") for i in own]
+            want[c, w] = (ts[new][0] if new < len(ts) else None, [ts[i][0] for i in own], target, sum(costs[i] for i in own), sum(costs[i] for i, k in zip(own, target) if k), "".join(texts[i] for i in own))
+    got = {(r["conv_id"], r["window"]): tuple(r)[2:] for r in queries.QUERIES["op7_chat_windows"](spark, sf).collect()}
+    assert got == want and any(sum(x[2]) for x in want.values())

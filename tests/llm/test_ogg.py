@@ -73,3 +73,39 @@ def test_conversations(spark):
     assert user == [(2, 0.02), (3, 0.04), (4, 0.06)]
     assert ogg.packets(spark.createDataFrame([(1, None), (2, b"")], "key bigint, ogg binary")).collect() == []
     assert ogg.packets(ogg.conversations_as_ogg(df.limit(0))).collect() == []
+
+
+def test_chained_streams_of_one_serial_number(spark):
+    pa, a = stream(5, [10, 300, 20])
+    pb, b = stream(5, [40, 50], 2)
+    data = b"".join(a + b)
+    got = ogg.demultiplex(data)
+    assert list(got) == [5, (5, 1)] and all(s.damaged == 0 and s.ended and s.codec == "opus" and s.headers == 2 for s in got.values())
+    assert [x[0] for x in got[5].packets] == [p for p, _ in pa] and [x[0] for x in got[5, 1].packets] == [p for p, _ in pb]
+    cut = ogg.demultiplex(b"".join(b[:-1]) + b[-1][:20])[5]
+    assert not cut.ended and cut.damaged == 1
+    rows = ogg.packets(spark.createDataFrame([(1, data, 3, "s"), (1, data, 3, "s"), (None, data, 3, "s")], "key bigint, ogg binary, serial int, data string")).collect()
+    assert len(rows) == 3 * (len(pa) + len(pb)) and sum(r["key"] is None for r in rows) == len(pa) + len(pb)
+    assert [(r["chain"], r["packet"]) for r in rows[: len(pa) + len(pb)]] == [(0, k) for k in range(len(pa))] + [(1, k) for k in range(len(pb))]
+
+
+def test_the_query_against_a_reading_of_its_own(spark):
+    """Every turn of the table as a packet, at its time: 20 ms apart within its role; two headers before."""
+    from collections import defaultdict
+
+    from quire.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    turns = defaultdict(list)
+    for r in sorted(spark.read.parquet(f"{sf}/conversations.parquet").collect(), key=lambda r: (r["conv_id"], r["turn"], r["role"], r["text"])):
+        turns[r["conv_id"], r["role"]].append(r["text"].encode())
+    serial = {k: 1 + sorted(role for c, role in turns if c == k[0]).index(k[1]) for k in turns}
+    got = defaultdict(list)
+    for r in queries.QUERIES["op4_ogg_packets"](spark, sf).collect():
+        assert (r["codec"], r["damaged"], r["chain"], r["ended"]) == ("opus", 0, 0, True) and r["n_bytes"] == len(r["data"])
+        got[r["key"], r["serial"]].append((r["packet"], r["seconds"], bytes(r["data"])))
+    assert set(got) == {(c, serial[c, role]) for c, role in turns}
+    for (c, role), texts in turns.items():
+        packets = sorted(got[c, serial[c, role]], key=lambda x: x[0])
+        assert [p[2][1:] for p in packets[2:]] == texts and [p[2][:8] for p in packets[:2]] == [b"OpusHead", b"OpusTags"]
+        assert [p[1] for p in packets[:2]] == [None, None] and all(abs(p[1] - 0.02 * k) < 1e-9 for k, p in enumerate(packets[2:], 1))

@@ -27,3 +27,35 @@ def test_stages_and_run_agree(spark):
     got = sorted(map(tuple, C.run(spark, TINY).collect()))
     assert got == sorted(map(tuple, packing.pack(c).collect()))
     assert {r[0] for r in got} == set(want)
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, names string, node string, part string, n int, seq int, _lost string"
+
+
+def odd(spark):
+    """Rows of the table with nulls, blanks, repeats, ties, a very long text and columns of clashing names."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{TINY}/documents.parquet").where("n_chars > 100").orderBy("doc_id").limit(60).collect()]
+    text = rows[0][1]
+    extra = [(9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (9003, " \n", None, None, None), (None, rows[1][1], "en", "s", 1), rows[0], rows[0], (9004, text * 200, "en", "s", 1), (9005, text, None, "s", 1)]
+    return spark.createDataFrame([(*r, 0.5, "x", "y", "z", 1, 2, "l") for r in rows + extra], SCHEMA)
+
+
+def test_stages_on_odd_and_on_empty_tables(spark):
+    df = odd(spark)
+    before = [tuple(r) for r in df.collect()]
+    for name, stage in C.STAGES[:3]:
+        out = stage(spark, df, TINY)
+        rows = [tuple(r) for r in out.collect()]
+        assert out.columns == df.columns and not set(map(repr, rows)) - set(map(repr, before)), name
+        ids = [r[0] for r in rows]
+        if name == "n-gram Jaccard join":
+            first = min(r[0] for r in before if r[1] == before[0][1] and r[0] is not None)
+            assert ids.count(first) == 1 and {9001, 9002, 9003} <= set(ids) and 9005 not in ids and ids.count(None) == 1
+        else:
+            assert not {9001, 9002} & set(ids) and ids.count(before[0][0]) == 3 and ids.count(None) == 1 and 9004 in ids, name
+        empty = stage(spark, df.limit(0), TINY)
+        assert empty.columns == df.columns and empty.collect() == [], name
+    rows = C.pack(spark, df, TINY).collect()
+    assert {r["doc_id"] for r in rows} == {r[0] for r in before} and len([r for r in rows if r["n"] == 0]) == 3
+    assert sum(r["n"] for r in rows) == sum(len((r[1] or "").split()) for r in before)
+    assert C.pack(spark, df.limit(0), TINY).collect() == []

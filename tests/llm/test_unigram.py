@@ -101,3 +101,40 @@ def test_table_and_edge_cases(spark, model):
     for i, t in enumerate(texts):
         assert back[i] == (t if t is None else t.replace("▁", " "))
     assert U.encode(df.limit(0), model).collect() == []
+
+
+def test_decoding_refuses_ids_out_of_range(spark):
+    from pyspark.errors import PythonException
+
+    m = U.load()
+    for bad in ([-1], [len(m.size)], [5, None]):
+        df = spark.createDataFrame([(1, bad, "t")], "doc_id bigint, ids array<int>, text string")
+        with pytest.raises(PythonException):
+            U.decode(df, m).collect()
+    df = spark.createDataFrame([(1, None, "t"), (None, [], "t"), (None, [], "t")], "doc_id bigint, ids array<int>, text string")
+    assert sorted(map(tuple, U.decode(df, m).collect()), key=repr) == [(1, None), (None, ""), (None, "")]
+
+
+def test_other_normalisers_are_refused(tmp_path):
+    with open(U.DEFAULT_MODEL, "rb") as f:
+        raw = f.read()
+    path = tmp_path / "other.model"
+    path.write_bytes(raw + b"\x1a\x02\x20\x01")  # remove_extra_whitespaces
+    with pytest.raises(ValueError):
+        U.load(str(path))
+
+
+def test_lengths_around_the_step_limit_give_equal_ids():
+    """Stretches of up to and over ``STEP_LIMIT`` bytes go two ways with the same result."""
+    import numpy as np
+
+    m, r = U.load(), np.random.default_rng(3)
+    letters = np.frombuffer("abcdefghijklmnopqrstuvwxyz".encode(), np.uint8)
+    rows = [r.choice(letters, n) for n in (190, 191, 192, 193, 194, 400) for _ in range(6)]
+    size = np.array([len(x) for x in rows])
+    both = []
+    limit = U.STEP_LIMIT
+    for U.STEP_LIMIT in (0, limit, 1000):
+        both.append(U.segment(m, np.concatenate(rows), size))
+    U.STEP_LIMIT = limit
+    assert all((a == both[0][0]).all() and (n == both[0][1]).all() for a, n in both[1:])
