@@ -13,22 +13,38 @@ from quire.llm.shared import materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the texts whose language the byte network identifies; null and empty texts go."""
+    """Keep the texts whose language the byte network identifies, rows and columns as they are.
+
+    Null and empty texts go, and those whose best probability is under ``langid.MIN_PROB``. Rows that repeat are judged each, rows
+    without id too; texts are read whole, however long. Without any labelled text all texts stay; an empty table stays empty.
+    """
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the texts whose n-gram log-likelihood ratio reaches the threshold."""
+    """Keep the texts whose n-gram log-likelihood ratio reaches the threshold (or equals it), rows and columns as they are.
+
+    Null and blank texts go. Rows that repeat are judged each, rows without id too; texts are read whole. Without labels of both kinds
+    among the documents every text with a word or mark stays; an empty table stays empty.
+    """
     return llr.keep_good(docs, llr.fit(docs, table("labels", spark, sf_dir)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep, of each group of similar texts, the one of least id."""
+    """Keep, of each group of similar texts, the one of least id; columns as they are.
+
+    Texts without a word and rows without id belong to no group and stay. Rows that repeat id and text leave one; an id of several
+    texts is judged text by text. Texts are compared whole; an empty table stays empty.
+    """
     return parity.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place what is left in sequences of ``packing.CAPACITY`` words."""
+    """Place what is left in sequences of ``packing.CAPACITY`` words, see :func:`quire.llm.packing.pack`: no row is lost.
+
+    Texts without a word have a row without a sequence, longer ones than a sequence a row per piece; rows that repeat and rows
+    without id are placed each, equal sizes by id; an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
