@@ -492,6 +492,33 @@ def ord_top_regressions(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("doc"), F.round(F.col("o_totalprice") - F.col("s"), 6).alias("delta")).orderBy("delta", "doc").limit(15)
 
 
+_CHANGES = "SELECT o_orderkey AS doc_id, o_totalprice - l.s AS delta FROM orders JOIN (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100 AS s FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey WHERE abs(o_totalprice - l.s) > 0.01"
+
+
+@query(f"""WITH d AS ({_CHANGES}) SELECT doc_id, round(delta, 6) AS delta, 'loss' AS direction FROM (SELECT * FROM d WHERE delta < 0 ORDER BY delta, doc_id LIMIT 15)
+ UNION ALL SELECT doc_id, round(delta, 6), 'gain' FROM (SELECT * FROM d WHERE delta > 0 ORDER BY delta DESC, doc_id LIMIT 15)""")
+def ord_score_changes(spark, sf_dir):
+    """The 15 largest losses and gains against a baseline: a top-k report."""
+    from .plans.reports import score_changes
+
+    base = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / 100).alias("score"))
+    new = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score"))
+    return score_changes(new, base).withColumn("delta", F.round("delta", 6))
+
+
+@query("""WITH o AS (SELECT *, n_chars / 1024.0::DOUBLE AS seconds FROM documents)
+ SELECT count(*) AS files, count(*) FILTER (n_chars < 100) AS failed, CAST(sum(n_chars // 2000 + 1) AS BIGINT) AS pages, CAST(sum(n_chars) AS BIGINT) AS chars, round(sum(seconds) / sum(n_chars // 2000 + 1), 9) AS s_per_page,
+ round(sum(seconds) / count(*), 9) AS s_per_doc, round(sum(n_chars // 2000 + 1) / sum(seconds), 9) AS pages_per_s, (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 1) AS slowest FROM o""")
+def agg_batch_outcomes(spark, sf_dir):
+    """Pace of a batch in which a text takes its length in time, and its slowest text, the last of equals."""
+    from .plans.reports import batch_summary
+
+    d = table(spark, sf_dir, "documents")
+    o = d.select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("name"), (F.col("n_chars") >= 100).alias("ok"), F.expr("n_chars div 2000 + 1").alias("pages"), F.col("n_chars").alias("chars"), (F.col("n_chars") / 1024.0).alias("seconds"))
+    r = batch_summary(o)
+    return r.select(*[F.round(c, 9).alias(c) if c in ("s_per_page", "s_per_doc", "pages_per_s") else c for c in r.columns])
+
+
 @query("SELECT count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (n_chars < 100) AS small, max(n_chars) AS largest FROM documents")
 def agg_batch_summary(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.count_if(F.col("n_chars") < 100).alias("small"), F.max("n_chars").alias("largest"))
