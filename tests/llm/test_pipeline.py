@@ -52,7 +52,14 @@ def test_stages_on_odd_and_on_empty_tables(spark):
             first = min(r[0] for r in before if r[1] == before[0][1] and r[0] is not None)
             assert ids.count(first) == 1 and {9001, 9002, 9003} <= set(ids) and 9005 not in ids and ids.count(None) == 1
         else:
-            assert not {9001, 9002} & set(ids) and ids.count(before[0][0]) == 3 and ids.count(None) == 1 and 9004 in ids, name
+            assert not {9001, 9002} & set(ids) and ids.count(None) == 1, name
+            # rows that repeat fare alike, and so do a longer text of the same words and a copy by another id
+            assert ids.count(before[0][0]) in (0, 3) and len({before[0][0] in ids, 9004 in ids, 9005 in ids}) == 1, name
+            if name == "language ID":
+                assert 9004 in ids
+            else:
+                scored = llr.score(df, llr.fit(df, spark.read.parquet(f"{TINY}/labels.parquet"))).where("keep").collect()
+                assert sorted(ids, key=repr) == sorted((r["doc_id"] for r in scored), key=repr)
         empty = stage(spark, df.limit(0), TINY)
         assert empty.columns == df.columns and empty.collect() == [], name
     rows = C.pack(spark, df, TINY).collect()
