@@ -96,8 +96,3 @@ def table(df_or_name, spark: SparkSession | None = None, sf_dir: str | None = No
     if isinstance(df_or_name, DataFrame):
         return df_or_name
     return spark.read.parquet(f"{sf_dir}/{df_or_name}.parquet")
-
-
-def sample_by_hash(df: DataFrame, id_col: str, most: int) -> DataFrame:
-    """At most ``most`` rows, the same ones in every run: those of least id hash."""
-    return df.where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(most)

@@ -202,3 +202,39 @@ def test_queries_cover_every_row(spark, name):
         assert got[i]["n_features"] == len(f)
         if len(f):
             assert got[i]["score"] == pytest.approx(m.llr[f].mean()) and got[i]["keep"] == bool(got[i]["score"] >= m.threshold)
+
+
+@pytest.mark.parametrize("near", [1_000_000, 0])
+def test_target_and_threshold_take_every_label(spark, monkeypatch, near):
+    """Of more labelled ids than were once sampled, each counts, whether labels are broadcast or not and however many ranges the scores have."""
+    monkeypatch.setattr(Q, "BROADCAST_ROWS", near, raising=False)
+    monkeypatch.setattr(Q, "CUT_ROWS", 40, raising=False)
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(("fine prose here", "spam junk offer")[(r.random() < 0.3) ^ (i % 3 == 0)].split()) for _ in range(r.randint(1, 30)))) for i in range(0, 120_000, 400)]
+    rows += [rows[5], (None, "fine prose"), (130_000, "spam"), (400, ""), (800, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    labels = spark.range(120_000).selectExpr("id AS doc_id", "CAST(id % 3 != 0 AS INT) AS quality", "CAST(id % 7 = 0 AS INT) AS toxic")
+    m = Q.fit(df, labels)
+
+    def counts(texts):
+        data = [(t or "").encode() for t in texts]
+        f, _ = Q.features(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
+        return np.bincount(f, minlength=Q.BUCKETS)
+
+    inside = lambda i: i is not None and i < 120_000
+    want = Q.ratios(counts([t for _, t in rows]), counts([t for i, t in rows if inside(i) and i % 3 and i % 7]))
+    assert np.array_equal(m.llr, want)
+    scores = [(x["doc_id"], x["score"]) for x in Q.score(df, m).collect() if inside(x["doc_id"]) and x["score"] is not None]
+    assert len({s for _, s in scores}) > 80
+    assert m.threshold == Q.choose_threshold(np.array([s for i, s in scores if i % 3]), np.array([s for i, s in scores if i % 3 == 0]))
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_threshold_over_ranges_is_that_of_all_scores(spark, monkeypatch, rows):
+    monkeypatch.setattr(Q, "CUT_ROWS", rows)
+    r = np.random.default_rng(6)
+    good, bad = np.round(r.normal(1, 1, 60), 1), np.round(r.normal(-1, 1, 40), 1)
+    t = lambda g, b: spark.createDataFrame([(float(x), k) for xs, k in ((g, True), (b, False)) for x in xs], "score double, good boolean")
+    assert Q.find_threshold(t(good, bad)) == Q.choose_threshold(good, bad)
+    assert Q.find_threshold(t(good, [])) == Q.find_threshold(t([], bad)) == Q.find_threshold(t([], [])) == float("-inf")
+    assert Q.find_threshold(t([0.5], [0.5])) == -0.5
