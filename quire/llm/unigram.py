@@ -28,7 +28,7 @@ from .spans import gather, hash_spans, starts
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 _SPACE = 32
-#: Stretches up to this many bytes are segmented in step, longer ones each.
+#: Stretches up to this many bytes are segmented in step, longer ones edge by edge.
 STEP_LIMIT = 192
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -230,64 +230,136 @@ def _edges(m: Model, d: np.ndarray, end_of: np.ndarray):
     return np.concatenate(a), np.concatenate(b), np.concatenate(v)
 
 
-def segment(m: Model, d: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the best path of every stretch of ``d``, and their numbers.
+def _in_step(m: Model, d: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of the best path of every stretch, the bytes that each covers and the number of pieces of each stretch.
 
-    Of equally good pieces that end at one place the one that starts first is taken.
+    All stretches go forward together, a byte at a time: what starts there is pushed to where it ends. No two
+    stretches share a node, so nothing is sorted. Earlier starts come first and only a better path replaces one.
     """
+    n = len(size)
+    order = np.argsort(-size.astype(np.int16), kind="stable")
+    size_of = size[order]
+    most = int(size_of[0]) if n else 0
+    # stretches, the longest first, that have at least r bytes; row r of the nodes and row r of the bytes lie side by side
+    at_least = n - starts(np.bincount(size, minlength=most + 1))
+    row = starts(at_least)
+    first = np.flatnonzero((d & 0xC0) != 0x80)
+    width = np.zeros(len(d), np.int16)
+    end_of = np.repeat(np.cumsum(size), size)
+    width[first] = np.minimum(np.append(first[1:], len(d)), end_of[first]) - first
+    begin = starts(size)[order]
+    total = int(at_least.sum())
+    best, back, far_back = np.full(total, -np.inf), np.full(total, -1, np.int32), np.zeros(total, np.int16)
+    best[:n] = 0
+    byte = [d[begin[: at_least[r + 1]] + r].astype(np.int64) for r in range(most)]
+    node_score = np.where(m.value >= 0, m.score[np.maximum(m.value, 0)], -np.inf)
+    base, check, value = m.base.astype(np.int64), m.check, m.value
+
+    def push(node, cand, piece, far):
+        k = np.flatnonzero(cand > best[node])
+        node = node[k]
+        best[node] = cand[k]
+        back[node] = piece[k] if piece is not None else -1
+        far_back[node] = far[k] if piece is None else far
+
+    for r in range(most):
+        here = best[row[r] : row[r] + at_least[r + 1]]
+        wide = width[begin[: at_least[r + 1]] + r]
+        go = np.flatnonzero((wide > 0) & (here > -np.inf))
+        lone = np.ones(len(here), bool)
+        k, state, far, widest = go, np.zeros(len(go), np.int64), 0, int(wide.max(initial=0))
+        while r + far < most:
+            cut = np.searchsorted(k, at_least[r + far + 1])  # the others end before
+            k, state = k[:cut], state[:cut]
+            to = base[state] + byte[r + far][k]
+            ok = np.flatnonzero(check[to] == state)
+            if not len(ok):
+                break
+            k, state = k[ok], to[ok]
+            far += 1
+            w = node_score[state]
+            if far <= widest:
+                lone[k[(wide[k] == far) & (w > -np.inf)]] = False
+            push(row[r + far] + k, here[k] + w, value[state], far)
+        k = go[lone[go]]
+        if len(k):
+            push(row[r + wide[k].astype(np.int64)] + k, here[k] + m.unk_score, None, wide[k])
+    # backwards, the last piece first; each path's pieces are then laid out by its length
+    alive, left, depth = np.flatnonzero(size_of > 0), size_of.copy(), np.zeros(n, np.int64)
+    trail = []
+    while len(alive):
+        node = row[left[alive]] + alive
+        trail.append((alive, back[node], far_back[node]))
+        left[alive] -= far_back[node]
+        depth[alive] += 1
+        alive = alive[left[alive] > 0]
+    count = np.empty(n, np.int64)
+    count[order] = depth
+    piece, bytes_ = np.empty(int(count.sum()), np.int32), np.empty(int(count.sum()), np.int64)
+    last = (starts(count) + count - 1)[order]
+    for step, (k, p, far) in enumerate(trail):
+        piece[last[k] - step] = p
+        bytes_[last[k] - step] = far
+    return piece, bytes_, count
+
+
+def _by_edges(m: Model, d: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`_in_step`, edge by edge."""
     n, begin = len(size), starts(size)
     seg = np.repeat(np.arange(n), size)
     a, b, v = _edges(m, d, (begin + size)[seg] if len(d) else np.empty(0, np.int64))
-    sa = seg[a]
     w = np.where(v >= 0, m.score[np.maximum(v, 0)], m.unk_score)
-    rel = b - begin[sa]
-    order = np.lexsort((a, b, np.where(size[sa] > STEP_LIMIT, STEP_LIMIT + 1, rel)))
-    a, b, v, w, sa, rel = a[order], b[order], v[order], w[order], sa[order], rel[order]
+    order = np.lexsort((a, b))
+    a, b, v, w = a[order], b[order], v[order], w[order]
     # a stretch of k bytes has k + 1 nodes
-    na, nb = a + sa, b + sa
+    na, nb = a + seg[a], b + seg[a]
     best, back = np.full(len(d) + n, -np.inf), np.full(len(d) + n, -1, np.int64)
     best[begin + np.arange(n)] = 0
-    step = size[sa] <= STEP_LIMIT
-    cut = int(step.sum())
-    edge = np.flatnonzero(np.diff(rel[:cut], prepend=-1, append=-1)) if cut else np.array([0])
-    for lo, hi in zip(edge[:-1], edge[1:]):
-        cand = best[na[lo:hi]] + w[lo:hi]
-        node = nb[lo:hi]
-        head = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        top = np.maximum.reduceat(cand, head)
-        best[node[head]] = top
-        count = np.diff(np.append(head, hi - lo))
-        same = np.flatnonzero(cand == np.repeat(top, count))
-        who = node[same]
-        one = same[np.concatenate([[True], who[1:] != who[:-1]])]
-        back[node[one]] = one + lo
-    if cut < len(a):
-        got, ptr = best.tolist() if len(best) < 1 << 16 else best, back
-        for k in range(cut, len(a)):
-            c = got[na[k]] + w[k]
-            if c > got[nb[k]]:
-                got[nb[k]] = c
-                ptr[nb[k]] = k
-    cur, alive = begin + size + np.arange(n), np.flatnonzero(size > 0)
-    who, edge_no = [], []
-    while len(alive):
-        k = back[cur[alive]]
-        who.append(alive)
-        edge_no.append(k)
-        cur[alive] = na[k]
-        alive = alive[a[k] > begin[alive]]
-    if not who:
-        return np.empty(0, np.int32), np.zeros(n, np.int64)
-    depth = np.repeat(np.arange(len(who)), [len(x) for x in who])
-    who, edge_no = np.concatenate(who), np.concatenate(edge_no)
-    order = np.lexsort((-depth, who))
-    who, edge_no = who[order], edge_no[order]
-    piece, width = v[edge_no], np.where(v[edge_no] < 0, b[edge_no] - a[edge_no], 1)
-    ids = np.repeat(piece, width)
-    raw = ids < 0
-    if raw.any():
-        ids[raw] = m.byte_id[d[gather(a[edge_no][piece < 0], width[piece < 0])]]
-    return ids.astype(np.int32), np.bincount(who, weights=width, minlength=n).astype(np.int64)
+    got = best.tolist() if len(best) < 1 << 16 else best
+    for k in range(len(a)):
+        c = got[na[k]] + w[k]
+        if c > got[nb[k]]:
+            got[nb[k]] = c
+            back[nb[k]] = k
+    edges, count = [], np.zeros(n, np.int64)
+    for i in range(n):
+        path, cur = [], begin[i] + size[i] + i
+        while cur > begin[i] + i:
+            path.append(back[cur])
+            cur = na[back[cur]]
+        edges += path[::-1]
+        count[i] = len(path)
+    edges = np.array(edges, np.int64)
+    return v[edges].astype(np.int32), b[edges] - a[edges], count
+
+
+def segment(m: Model, d: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the best path of every stretch of ``d``, and their numbers.
+
+    Of equally good pieces that end at one place the one that starts first is taken.
+    """
+    short = size <= STEP_LIMIT
+    if short.all():
+        piece, width, count = _in_step(m, d, size)
+    elif not short.any():
+        piece, width, count = _by_edges(m, d, size)
+    else:
+        begin, count, parts = starts(size), np.empty(len(size), np.int64), []
+        for which, how in ((short, _in_step), (~short, _by_edges)):
+            p, w, count[which] = how(m, d[gather(begin[which], size[which])], size[which])
+            parts.append((which, p, w))
+        piece, width = np.empty(int(count.sum()), np.int32), np.empty(int(count.sum()), np.int64)
+        for which, p, w in parts:
+            to = gather(starts(count)[which], count[which])
+            piece[to], width[to] = p, w
+    raw = piece < 0
+    if not raw.any():
+        return piece, count
+    # pieces cover their stretches without gaps
+    each = np.where(raw, width, 1)
+    ids = np.repeat(piece, each)
+    ids[ids < 0] = m.byte_id[d[gather((np.cumsum(width) - width)[raw], width[raw])]]
+    return ids, np.bincount(np.repeat(np.arange(len(size)), count), weights=each, minlength=len(size)).astype(np.int64)
 
 
 def encode_rows(m: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

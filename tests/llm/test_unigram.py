@@ -138,3 +138,23 @@ def test_lengths_around_the_step_limit_give_equal_ids():
         both.append(U.segment(m, np.concatenate(rows), size))
     U.STEP_LIMIT = limit
     assert all((a == both[0][0]).all() and (n == both[0][1]).all() for a, n in both[1:])
+
+
+def test_short_stretches_go_in_step_without_sorting_their_edges(monkeypatch):
+    """Sorting all edges took most of the time; the pushes must give what going edge by edge does, also for characters without a piece."""
+    m, r = U.load(), np.random.default_rng(7)
+    letters = list("abcdefghij éñ日本😀\U00013000,.12")
+    rows = [np.frombuffer("".join(r.choice(letters, n)).encode(), np.uint8) for n in [0, 1, 2, 48, *r.integers(1, 40, 200)]]
+    d, size = np.concatenate(rows), np.array([len(x) for x in rows])
+    monkeypatch.setattr(U, "STEP_LIMIT", 0)
+    want = U.segment(m, d, size)
+    monkeypatch.setattr(U, "STEP_LIMIT", 192)
+
+    def refuse(*_):
+        raise AssertionError("edges are sorted")
+
+    monkeypatch.setattr(U.np, "lexsort", refuse)
+    got = U.segment(m, d, size)
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+    none = U.segment(m, d[:0], size[:0])
+    assert len(none[0]) == len(none[1]) == 0
