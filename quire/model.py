@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
@@ -59,6 +60,24 @@ def upper_median(values) -> float | None:
     return v[len(v) // 2] if v else None
 
 
+def median_size(styles: Counter) -> float | None:
+    """The upper median of the sizes of characters counted by style."""
+    left = sum(styles.values()) // 2
+    for (size, *_), n in sorted(styles.items(), key=lambda s: s[0][0]):
+        if left < n:
+            return size
+        left -= n
+    return None
+
+
+def total(counts) -> Counter:
+    out: Counter = Counter()
+    for c in counts:
+        for k, n in c.items():
+            out[k] += n
+    return out
+
+
 class Char(NamedTuple):
     text: str | None
     box: Box
@@ -88,6 +107,14 @@ class Line:
     def chars(self):
         return [c for w in self.words for c in w.chars]
 
+    def extents(self) -> list[tuple[float, float, str]]:
+        """Left and right ends and texts of the words."""
+        return [(w.box.left, w.box.right, w.text) for w in self.words]
+
+    def styles(self) -> Counter:
+        """How many characters there are of every size, weight and font."""
+        return Counter([(c.size, c.weight, c.font) for w in self.words for c in w.chars])
+
 
 @dataclass
 class Block:
@@ -101,8 +128,11 @@ class Block:
     def chars(self):
         return [c for line in self.lines for c in line.chars()]
 
+    def styles(self) -> Counter:
+        return self.lines[0].styles() if len(self.lines) == 1 else total(line.styles() for line in self.lines)
+
     def size(self) -> float | None:
-        return upper_median([c.size for c in self.chars()])
+        return median_size(self.styles())
 
 
 class Graphic(NamedTuple):
@@ -125,6 +155,9 @@ class Page:
     def chars(self):
         return [c for b in self.blocks for c in b.chars()]
 
+    def styles(self) -> Counter:
+        return total(b.styles() for b in self.blocks)
+
     def with_blocks(self, blocks: list[Block]) -> Page:
         return replace(self, blocks=blocks)
 

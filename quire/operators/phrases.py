@@ -13,7 +13,6 @@ FOOTNOTE = re.compile(r"\s*(?:[†‡§¶]|\*(?:\Z|\S)|[\u2070-\u2079]|[0-9]{1,3
 MATH = re.compile(r"[0-9=+\-*/^()\[\]{}\u0370-\u03ff\u2200-\u22ff]")
 MATH_SHARE = 0.15
 _DIGITS, _AGAIN = re.compile("[0-9]+"), re.compile("(?<=\x01 )\x01")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def is_list_item(t: str) -> bool:
@@ -47,7 +46,8 @@ def running_text(t: str) -> str:
 
     A run of digits is one ``#``; digits that follow on over a space add nothing.
     """
-    t = _DIGITS.sub("\x01", " ".join(t.replace("\x01", "").split()).translate(_LOWER))
+    t = " ".join(t.replace("\x01", "").split())
+    t = _DIGITS.sub("\x01", t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))  # bytes know ASCII case only
     return _AGAIN.sub("", t).replace("\x01", "#")
 
 

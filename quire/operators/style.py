@@ -25,9 +25,13 @@ def char_is_bold(c) -> bool:
 
 def bold_share(chars) -> float:
     """Share of bold characters, 0 for none; counted by weight and font, of which there are few."""
-    kinds = Counter([(c.weight, c.font) for c in chars])
-    total = sum(kinds.values())
-    return sum(n for k, n in kinds.items() if _bold(*k)) / total if total else 0.0
+    return bold_share_of(Counter([(c.size, c.weight, c.font) for c in chars]))
+
+
+def bold_share_of(styles: Counter) -> float:
+    """The same of characters counted by size, weight and font."""
+    total = sum(styles.values())
+    return sum(n for (_, weight, font), n in styles.items() if _bold(weight, font)) / total if total else 0.0
 
 
 def is_bold(chars) -> bool:
