@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, of which Java's ``\s`` and SQL's know the ASCII part only.
 SPACE = r"[\s\x{85}\p{Z}]"
+#: The white space of DuckDB's expressions, whose ``\s`` lacks the vertical tab.
+SQL_SPACE = r"[\t\n\f\r\x{85}\p{Z}]"
 LIST_ITEM = rf"^{SPACE}*([-*•]{SPACE}|[0-9]+[.)]{SPACE})"
 CAPTION = rf"^{SPACE}*(?i:figure|table|fig\.){SPACE}*[0-9]"
 LEVELS = rf"^{SPACE}*[0-9]+(\.[0-9]+)*({SPACE}|:)"
@@ -55,10 +57,19 @@ def starts_lower(t: Column) -> Column:
     return t.rlike(rf"^{SPACE}*\p{{Ll}}")
 
 
+def _evened(t: Column, space: str) -> Column:
+    x = F.translate(F.trim(F.regexp_replace(F.replace(t, F.lit("\x01"), F.lit("")), space + "+", " ")), _CAPITALS, _SMALL)
+    return F.regexp_replace(x, "[0-9]+", "\x01")
+
+
 def running_text(t: Column) -> Column:
     """Spaces, case and numbers evened out; see :func:`quire.operators.phrases.running_text`."""
-    x = F.translate(F.trim(F.regexp_replace(F.replace(t, F.lit("\x01"), F.lit("")), SPACE + "+", " ")), _CAPITALS, _SMALL)
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[0-9]+", "\x01"), "(?<=\x01 )\x01", ""), "\x01", "#")
+    return F.regexp_replace(F.regexp_replace(_evened(t, SPACE), "(?<=\x01 )\x01", ""), "\x01", "#")
+
+
+def running_key(t: Column) -> Column:
+    """The same as SQL has it: digits that follow on take the space before them along, and a vertical tab is no space."""
+    return F.regexp_replace(F.regexp_replace(_evened(t, SQL_SPACE), "\x01( \x01)+", "\x01"), "\x01", "#")
 
 
 def join_hyphenated(a: Column, b: Column) -> Column:

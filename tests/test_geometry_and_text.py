@@ -89,3 +89,16 @@ def test_bands_are_islands(bs):
 def test_find_sets():
     links = {(0, 3), (3, 4), (1, 2)}
     assert sorted(map(sorted, find_sets(6, lambda i, j: (i, j) in links))) == [[0, 3, 4], [1, 2], [5]]
+
+
+def test_running_key_as_in_sql(spark):
+    """The report's form of a running head is that of its SQL also where numbers follow each other."""
+    import duckdb
+
+    from quire.queries import _RUNNING
+
+    texts = [*TEXTS, "+1 (2) 3-4 56 on", "1 2.3.4 x", "tel. 1 2", "7 7a 7", "a\x0bb 1\x0b2", "1\u00a02\u30003 ", "x\x011 \x012", "\u0085 A 1 \u0085"]
+    body = spark.createDataFrame([(t,) for t in texts], "body string")
+    got = [r[0] for r in body.select(X.running_key(F.col("body"))).collect()]
+    want = duckdb.execute(f"SELECT list_transform($1, lambda body: {_RUNNING})", [texts]).fetchall()[0][0]
+    assert got == want and "+# (#) #-# on" in got and "#.#.# x" in got
