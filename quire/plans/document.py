@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import BLOCKS, MARKDOWN, REGIONS, Box, Char, Graphic, Page
 from ..operators import grouping, markdown, packed, reading_order, regions
@@ -29,7 +30,8 @@ GRAPHIC_COLUMNS = ("page", "z", "kind", "left", "bottom", "right", "top", "strok
 PAGE_COLUMNS = ("page", "width", "height")
 #: Characters that are laid out together; a longer document is alone.
 CHUNK = 300_000
-_TABLES = {"blocks": BLOCKS, "regions": REGIONS, "markdown": MARKDOWN}
+_ERROR = T.StructField("error", T.StringType())
+_TABLES = {"blocks": T.StructType([*BLOCKS, _ERROR]), "regions": T.StructType([*REGIONS, _ERROR]), "markdown": MARKDOWN}
 
 
 def pages_from_columns(chars: dict[str, list], graphics: dict[str, list], pages: dict[str, list]) -> list[Page]:
@@ -152,13 +154,13 @@ def to_markdown(pages: list[Page], options: markdown.Options = markdown.Options(
 
 
 def _block_rows(doc: str, pages: list[Page]) -> list[tuple]:
-    return [(doc, p.index, i, b.text, len(b.lines), *b.box, b.size()) for p in pages for i, b in enumerate(p.blocks)]
+    return [(doc, p.index, i, b.text, len(b.lines), *b.box, b.size(), None) for p in pages for i, b in enumerate(p.blocks)]
 
 
 def _region_rows(doc: str, pages: list[Page]) -> list[tuple]:
     out, seen = [], defaultdict(int)
     for r in regions.classify(split_styles(pages)):
-        out.append((doc, r.page, seen[r.page], r.kind, *r.box, r.confidence))
+        out.append((doc, r.page, seen[r.page], r.kind, *r.box, r.confidence, None))
         seen[r.page] += 1
     return out
 
@@ -223,7 +225,8 @@ def _run(chars: DataFrame, graphics: DataFrame | None, pages: DataFrame | None,
                     made = pages_from_columns(columns(parts[0], CHAR_COLUMNS), *others)
                 out += make(doc, made)
             except Exception as e:  # one bad document must not end the job
-                out += failed(doc, f"{type(e).__name__}: {e}") if failed else []
+                error = f"{type(e).__name__}: {e}"
+                out += failed(doc, error) if failed else [(doc, *[None] * (len(schema) - 2), error)]
         return out
 
     def call(batches):
@@ -261,17 +264,17 @@ def _run(chars: DataFrame, graphics: DataFrame | None, pages: DataFrame | None,
 
 
 def blocks_table(chars: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """Blocks in stream order, as grouped from characters."""
+    """Blocks in stream order, as grouped from characters; for a document that fails one row with an error and nothing else."""
     return _run(chars, None, pages, "blocks", _block_rows)
 
 
 def ordered_blocks_table(chars: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """Style-split blocks in reading order, stitched over page breaks."""
+    """Style-split blocks in reading order, stitched over page breaks; errors as in :func:`blocks_table`."""
     return _run(chars, None, pages, "blocks", lambda d, ps: _block_rows(d, reading_order.assemble(split_styles(ps))))
 
 
 def regions_table(chars: DataFrame, graphics: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
-    """Classified regions of every page."""
+    """Classified regions of every page; errors as in :func:`blocks_table`."""
     return _run(chars, graphics, pages, "regions", _region_rows)
 
 
@@ -280,6 +283,12 @@ def markdown_table(chars: DataFrame, graphics: DataFrame | None = None, pages: D
     return _run(chars, graphics, pages, "markdown", lambda d, ps: [(d, to_markdown(ps, options), None)], lambda d, e: [(d, "", e)])
 
 
+def whole(found: DataFrame) -> DataFrame:
+    """A table without its column of errors, for those that have no place for one: it stops at the first error."""
+    stop = F.raise_error(F.concat(F.lit("document "), F.coalesce("doc_id", F.lit("without a name")), F.lit(": "), "error")).cast("boolean")
+    return found.where(F.when(F.col("error").isNull(), True).otherwise(stop)).drop("error")
+
+
 def typeset_runs(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_page: int = 50, size: float = 10.0) -> DataFrame:
     """The same characters as of :func:`typeset_chars`, in runs of one line each: every table function takes either."""
     rows = texts.select(F.col(id_col).cast("string").alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("k", "text")).where("text <> ''")

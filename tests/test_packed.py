@@ -86,3 +86,19 @@ def test_regions_of_other_pages_do_not_matter():
 
     pages = [Page(i, 612.0, 792.0, [Block(Box(0, 0, 10, 10), [Line(f"t{i}", Box(0, 0, 10, 10))])]) for i in (0, 1)]
     assert M.structured(pages, [Region("title", Box(0, 0, 10, 10), 1.0, 1)]) == "t0\n\n---\n\n# t1"
+
+
+@pytest.mark.parametrize(("make", "query"), [(D.blocks_table, "grp_blocks"), (D.ordered_blocks_table, "ord_reading_order"), (D.regions_table, "reg_regions")])
+def test_a_document_that_fails_shows(spark, monkeypatch, make, query):
+    """It gives a row with its error; a query without such a column stops, whatever is asked of it."""
+    from quire import queries
+
+    good = D.typeset_chars(spark.createDataFrame([("good", "some words")], "doc_id string, text string"))
+    bad = spark.createDataFrame([("bad", 0, 0, "x", None, 0.0, 1.0, 1.0, "F", 10.0, None, 0.0)], CHARS)
+    rows = make(good.unionByName(bad)).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["page"]) for r in rows] == [("bad", None), ("good", 0)] and "no box" in rows[0]["error"] and rows[1]["error"] is None
+    monkeypatch.setattr(queries, "_chars", lambda *_: good.unionByName(bad))
+    with pytest.raises(Exception, match="document bad: ValueError"):
+        queries.QUERIES[query](spark, "").count()
+    monkeypatch.setattr(queries, "_chars", lambda *_: good)
+    assert queries.QUERIES[query](spark, "").count() == 1 and "error" not in queries.QUERIES[query](spark, "").columns
