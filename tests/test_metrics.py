@@ -132,3 +132,30 @@ def test_sample_as_tables(spark):
     assert [(r["text"], r["left"], r["top"], r["size"], r["scale"]) for r in rows] == [(t, b.left, b.top, z, p["scale"]) for p in real for t, b, z in p["cells"]]
     with pytest.raises(Exception, match="no cells"):
         D.read_sample(spark, f"{HERE}/doclaynet/coco.json", f"{HERE}/doclaynet_real/JSON")[1].collect()
+
+
+def test_many_pages_match_as_single_ones(spark, monkeypatch):
+    """Counts and GIoU per page and class, with ties of confidence and overlap, unknown classes, and pairs cut in chunks."""
+    import random
+
+    from quire.model import CLASSES
+    from quire.operators.markdown import giou
+    from quire.plans import evaluate as E
+
+    r = random.Random(1)
+    pages, rows = {}, []
+    for d in range(60):
+        sides = [[Region(r.choice(["text", "table", "picture", "unheard"]), Box(x := float(r.randrange(6)), y := float(r.randrange(6)), x + r.randrange(6), y + r.randrange(6)), r.choice([0.5, 0.7]), 0) for _ in range(r.randrange(9))] for _ in range(2)]
+        pages[str(d)] = sides
+        rows += [(str(d), 0, i, x.kind, *x.box, x.confidence, bool(side)) for side in (0, 1) for i, x in enumerate(sides[side])]
+    r.shuffle(rows)
+    want = set()
+    for d, (f, t) in pages.items():
+        for kind, m in M.match_regions(f, t, 0.3).items():
+            want.add((d, 0, kind, m["tp"], m["fp"], m["fn"], round(sum(giou(f[i].box, t[j].box) for i, j in m["matches"]), 9)))
+    table = spark.createDataFrame(rows, "doc_id string, page int, region int, class string, left double, bottom double, right double, top double, confidence double, true boolean")
+    for pairs in (3, E.PAIRS):
+        monkeypatch.setattr(E, "PAIRS", pairs)
+        got = [(*x[:6], round(x["giou"], 9)) for x in E.matched(table, 0.3).collect()]
+        assert len(got) == len(want) and set(got) == want and {x[2] for x in got} < set(CLASSES)
+    assert "CoGroup" not in E.matches(table, table, 0.3)._jdf.queryExecution().toString()
